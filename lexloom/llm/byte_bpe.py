@@ -36,14 +36,26 @@ SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 @lru_cache(1)
 def code_classes() -> np.ndarray:
-    """Class of each code point before looking ahead."""
-    table = np.full(0x110000, OTHER, np.uint8)
-    for point in range(0x110000):
-        kind = unicodedata.category(chr(point))[0]
-        if kind == "L":
-            table[point] = LETTER
-        elif kind == "N":
-            table[point] = DIGIT
+    """Class of each code point before looking ahead.
+
+    Python's Unicode tables can be older than the encoder's: the classes of code points that
+    Python calls unassigned are asked of the tiktoken library, where it is installed.
+    """
+    kinds = [unicodedata.category(chr(point)) for point in range(0x110000)]
+    table = np.array([LETTER if kind[0] == "L" else DIGIT if kind[0] == "N" else OTHER for kind in kinds], np.uint8)
+    try:
+        import tiktoken
+    except ImportError:
+        pass
+    else:
+        odd = [point for point, kind in enumerate(kinds) if kind == "Cn"]
+        for follower, kind in (("a", LETTER), ("1", DIGIT)):
+            ranks = {bytes([i]): i for i in range(256)} | {bytes([i]) + follower.encode(): 128 + i for i in range(128, 192)}
+            names = tiktoken.Encoding("classes", pat_str=r"\p{L}+|\p{N}+|[^\p{L}\p{N}]", mergeable_ranks=ranks, special_tokens={})
+            ids = np.array(names.encode_ordinary("".join(chr(point) + follower + "!" for point in odd)))
+            breaks = np.flatnonzero(ids == ord("!"))
+            joined = ids[breaks - 1] >= 256
+            table[np.array(odd)[joined]] = kind
     table[WHITE] = WHITE_IN
     return table
 
@@ -85,10 +97,10 @@ def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, point
 
 
-def look_ahead(point: np.ndarray, new: np.ndarray) -> np.ndarray:
+def look_ahead(point: np.ndarray, new: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Classes with what follows folded in; new: where a text begins."""
     n = len(point)
-    kind = code_classes()[point]
+    kind = classes[point]
     ends = np.ones(n, bool)  # the text ends after this character
     ends[:-1] = new[1:]
     white = kind == WHITE_IN
@@ -131,7 +143,7 @@ def cuts(kind: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def boundaries(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Byte positions at which tokens begin, then the end; data holds whole texts."""
     if not len(data):
         return np.zeros(1, np.int64)
@@ -139,7 +151,7 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     new = np.zeros(len(data), bool)
     begin = offsets[:-1]
     new[begin[begin < offsets[1:]]] = True
-    starts = at[cuts(look_ahead(point, new[at]))]
+    starts = at[cuts(look_ahead(point, new[at], classes))]
     return np.append(starts, len(data))
 
 
@@ -149,6 +161,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def vocabulary(path: str) -> tuple[dict[bytes, int], np.ndarray]:
+    """What the driver reads once and broadcasts, about 3 MB: ranks and code point classes."""
+    return read_ranks(path), code_classes()
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one slice: join the adjacent pair of least rank, leftmost first, until none is left."""
     if (whole := ranks.get(piece)) is not None:
@@ -224,9 +241,10 @@ def slices_of(path: str, ranks: dict[bytes, int]) -> Slices:
 
 
 class Codec:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file; vocabulary: what ``vocabulary()`` read."""
 
-    def __init__(self, path: str, ranks: dict[bytes, int]):
+    def __init__(self, path: str, vocabulary: tuple[dict[bytes, int], np.ndarray]):
+        ranks, self.classes = vocabulary
         self.cache = slices_of(path, ranks)
         self.tokens = {i: t for t, i in ranks.items()}
 
@@ -237,7 +255,7 @@ class Codec:
         for row, end in blocks(offsets):
             part = data[offsets[row] : offsets[end]]
             own = offsets[row : end + 1] - offsets[row]
-            raw, marks = part.tobytes(), boundaries(part, own)
+            raw, marks = part.tobytes(), boundaries(part, own, self.classes)
             firsts = np.searchsorted(marks, own).tolist()
             marks = marks.tolist()
             for k in range(end - row):
@@ -262,10 +280,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     A null text encodes as an empty one, to no ids. Repeated rows and null keys stay as they
     are; other columns aren't read. No special token is ever made.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        codec = Codec(path, ranks.value)
+        codec = Codec(path, known.value)
         for batch in batches:
             ids, offsets = [], []
             for _, _, out, _ in codec.encode(batch.column(1)):
@@ -279,10 +297,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Return doc_id and bytes of (doc_id, ids). Null ids decode to nothing; an unknown id raises."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(path))
+    known = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        codec = Codec(path, ranks.value)
+        codec = Codec(path, known.value)
         for batch in batches:
             out = [codec.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
@@ -298,10 +316,10 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     decoded_sha256 (of the decoded bytes), n_bytes. Null texts count as empty; rows stay one to
     one, repeated rows and null keys too.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        codec = Codec(path, ranks.value)
+        codec = Codec(path, known.value)
         for batch in batches:
             counts, ids_sha, text_sha, sizes = [], [], [], []
             for _, _, ids, _ in codec.encode(batch.column(1)):
