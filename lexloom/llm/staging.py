@@ -42,7 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``, or None where it has none (no job is run)."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 50 else None
 
 
