@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -133,17 +133,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def within(starts: np.ndarray, firsts: np.ndarray, length: int) -> np.ndarray:
-    """Which window starts (0..) do not run over the end of their sequence; firsts: borders of the sequences."""
-    owner = np.searchsorted(firsts, starts, "right") - 1
-    return starts + length <= firsts[owner + 1]
-
-
-def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Boolean mask of the n places covered by [s, s+length) for any s."""
-    steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + length, n), -1)
+def cover(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Boolean mask of the n places covered by some [start, start + length)."""
+    steps = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + lengths, n), minlength=n + 1)
     return np.cumsum(steps[:n]) > 0
 
 

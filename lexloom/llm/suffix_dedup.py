@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexloom.llm.bytesets import Prefix, blocks, cover, expand, flat
+from lexloom.llm.bytesets import Prefix, blocks, expand
 from lexloom.llm.staging import parts_for
 from lexloom.llm.windows import NONE, Chunk, blob_rows, chosen, deal, joined, minima, split_by
 
@@ -74,27 +74,32 @@ class SuffixSort:
         self.order = self._sort(segment)
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether suffix i sorts before suffix j."""
-        out = self.lead[i] < self.lead[j]
-        tie = np.flatnonzero(self.lead[i] == self.lead[j])
-        if len(tie):
-            a, b = self.at[i[tie]], self.at[j[tie]]
-            n = common(self.hashes, a, b, self.length)
-            more = n < self.length
-            out[tie] = False
-            out[tie[more]] = self.data[a[more] + n[more]] < self.data[b[more] + n[more]]
-        return out
+        """Whether suffix i sorts before suffix j; both share their leading bytes."""
+        a, b = self.at[i], self.at[j]
+        n = common(self.hashes, a, b, self.length)
+        return (n < self.length) & (self.data[a + n] < self.data[b + n])
 
     def _sort(self, segment: np.ndarray) -> np.ndarray:
-        """Bottom-up mergesort of all segments at once; an element moves by its rank in the sibling run."""
+        """Deal by the leading eight bytes, then mergesort all ties at once, bottom up.
+
+        In each round an element moves by its rank in the sibling run, found by binary search.
+        """
         n = len(segment)
-        order = np.arange(n)
+        order = np.lexsort([self.lead, segment])
         if not n:
             return order
-        heads = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        begin = np.repeat(heads, np.diff(np.append(heads, n)))
-        stop = np.repeat(np.append(heads[1:], n), np.diff(np.append(heads, n)))
-        place, longest, width = np.arange(n), int((stop - begin).max()), 1
+        new = np.ones(n, bool)
+        new[1:] = (segment[order[1:]] != segment[order[:-1]]) | (self.lead[order[1:]] != self.lead[order[:-1]])
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, n))
+        ties = np.flatnonzero(np.repeat(sizes > 1, sizes))  # places that aren't settled yet
+        if not len(ties):
+            return order
+        sizes = sizes[sizes > 1]
+        sub = order[ties]
+        edge = np.cumsum(sizes)
+        begin, stop = np.repeat(edge - sizes, sizes), np.repeat(edge, sizes)
+        place, longest, width = np.arange(len(sub)), int(sizes.max()), 1
         while width < longest:
             local = place - begin
             block = local // width
@@ -107,15 +112,16 @@ class SuffixSort:
             live = np.flatnonzero(low < high)
             while len(live):
                 middle = (low[live] + high[live]) >> 1
-                mine, theirs = order[live], order[middle]
+                mine, theirs = sub[live], sub[middle]
                 goes = np.where(right[live], ~self.less(mine, theirs), self.less(theirs, mine))
                 low[live] = np.where(goes, middle + 1, low[live])
                 high[live] = np.where(goes, high[live], middle)
                 live = live[low[live] < high[live]]
             target = np.where(right, first, own) + (place - own) + (low - first)
-            moved = np.empty(n, np.int64)
-            moved[target] = order
-            order, width = moved, width * 2
+            moved = np.empty_like(sub)
+            moved[target] = sub
+            sub, width = moved, width * 2
+        order[ties] = sub
         return order
 
     def repeats(self, segment: np.ndarray) -> np.ndarray:
@@ -185,7 +191,7 @@ def settle(data: np.ndarray, keys: np.ndarray, offset: np.ndarray, n: np.ndarray
     # whole groups of a key, as many as fit a block
     where = np.append(np.cumsum(sizes[sort_in]) - sizes[sort_in], sizes[sort_in].sum())
     heads_of = np.append(np.flatnonzero(np.concatenate([[True], keys[sort_in][1:] != keys[sort_in][:-1]])), len(sort_in)) if len(sort_in) else np.zeros(1, int)
-    for g0, g1 in blocks(where[heads_of], 1 << 20) if len(sort_in) else []:
+    for g0, g1 in blocks(where[heads_of], 1 << 19) if len(sort_in) else []:
         mine = sort_in[heads_of[g0] : heads_of[g1]]
         text = np.append(data[expand(offset[mine], sizes[mine])], np.zeros(8, np.uint8))
         own = np.cumsum(sizes[mine]) - sizes[mine]
@@ -327,23 +333,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     def finish(left, right):
         chunk = Chunk(left)
         at, n = joined(right.column("at"), "<i8")[0], joined(right.column("n"), "<i4")[0].astype(np.int64)
-        total = len(chunk.data)
-        steps = np.zeros(total + 1, np.int32)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, np.minimum(at + n + length - 1, total), -1)
-        gone = np.cumsum(steps[:total], dtype=np.int32) > 0
-        kept_data, offsets = chunk.data[~gone].tobytes(), chunk.offsets
-        sums = np.concatenate([[0], np.cumsum(gone)])
-        removed = np.diff(sums[offsets])
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        inner = offsets[:-1][offsets[:-1] < total]
-        opens[inner] = gone[inner]
-        spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[offsets])
-        bounds = (offsets - sums[offsets]).tolist()
-        kept = [kept_data[a:b] for a, b in zip(bounds, bounds[1:])]
+        order = np.argsort(at, kind="stable")
+        at, until = at[order], (at + n + length - 1)[order]
+        removed, spans, kept = [], [], []
+        for row, end in blocks(chunk.offsets):
+            base, total = chunk.offsets[row], int(chunk.offsets[end] - chunk.offsets[row])
+            part, own = chunk.data[base : base + total], chunk.offsets[row : end + 1] - base
+            a, b = np.searchsorted(at, [base, base + total])
+            steps = np.bincount(at[a:b] - base, minlength=total + 1) - np.bincount(until[a:b] - base, minlength=total + 1)
+            gone = np.cumsum(steps[:total]) > 0
+            raw, sums = part[~gone].tobytes(), np.concatenate([[0], np.cumsum(gone)])
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            inner = own[:-1][own[:-1] < total]
+            opens[inner] = gone[inner]
+            removed += np.diff(sums[own]).tolist()
+            spans += np.diff(np.concatenate([[0], np.cumsum(opens)])[own]).tolist()
+            bounds = (own - sums[own]).tolist()
+            kept += [raw[i:j] for i, j in zip(bounds, bounds[1:])]
         columns = {
-            "doc_id": chunk.ids, "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)),
+            "doc_id": chunk.ids, "n_bytes": pa.array(np.diff(chunk.offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
         }
         if with_text:
