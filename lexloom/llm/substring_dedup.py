@@ -23,6 +23,8 @@ from lexloom.llm.bytesets import Prefix, blocks, cover, expand, flat, mix, words
 from lexloom.llm.staging import parts_for
 from lexloom.llm.windows import NONE, Chunk, blob_rows, chosen, deal, joined, minima, split_by
 
+#: Bytes of input (as stored) in a chunk.
+CHUNK = 4 << 20
 #: Words of a gram whose hash can be a window's minimum.
 GRAM = 8
 #: Counters in each of the sketch's two rows, and the sections in which it is merged.
@@ -138,7 +140,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
     documents share reaches its group once from each chunk.
     """
     spark = docs.sparkSession
-    parts = parts_for(docs)
+    parts = parts_for(docs, CHUNK)
     sketch = spark.sparkContext.broadcast(sketch_of(docs, text, length).counters)
     dealt = deal(docs, parts, key, text)
 
@@ -223,7 +225,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, key: str = "doc_id", text:
         chunk, own = Chunk(left), key_row[0].as_py()
         open_, done = (joined(right.column(c), "<u4")[0].reshape(-1, 2).astype(np.int64) for c in ("open", "done"))
         rows = [(own % parts, own, None, None, None, done.astype("<u4").tobytes())] if len(done) else []
-        open_ = open_[np.argsort(open_[:, 0])]
+        open_ = np.unique(open_, axis=0)  # a run can be open for two reasons
         h1, h2, at = [], [], []
         for base, part, hashes, starts, ends, first in parts_of(chunk) if len(open_) else ():
             a, b = np.searchsorted(open_[:, 0], [base, base + len(starts)])

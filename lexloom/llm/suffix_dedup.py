@@ -21,14 +21,16 @@ from lexloom.llm.bytesets import Prefix, blocks, expand
 from lexloom.llm.staging import parts_for
 from lexloom.llm.windows import NONE, Chunk, blob_rows, chosen, deal, joined, minima, split_by
 
+#: Bytes of input (as stored) in a chunk.
+CHUNK = 4 << 20
 #: Bytes of a gram whose hash can be a window's minimum.
 GRAM = 48
 #: Starts in a run at most; a longer one (periodic text) is cut.
 RUN = 4096
-#: Beyond so many chunks with one minimum, its starts are dealt by their own hashes.
-HOT = 20_000
+#: Starts with a minimum that occurs more often are dealt by hashes of their own strings.
+HOT = 1000
 
-KEYS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary())])
+KEYS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
 ANSWERS = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
 RUNS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("twice", pa.binary()), ("bytes", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("start", pa.binary()), ("done_at", pa.binary()), ("done_n", pa.binary())])
 FOUND = pa.schema([("chunk", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
@@ -220,7 +222,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
     the input; overlaps count, the same document included. Null texts count as empty, short
     texts come back whole, repeated rows remove each other, other columns aren't read.
     """
-    parts = parts_for(docs)
+    parts = parts_for(docs, CHUNK)
     dealt = deal(docs, parts, key, text)
     span = length - GRAM + 1
     bucket_of = lambda keys: ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
@@ -237,17 +239,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         keys, counts = np.unique(keys, return_counts=True)
         own = key_row[0].as_py()
-        return blob_rows(KEYS, [(b, own, keys[w].tobytes(), np.packbits(counts[w] > 1).tobytes()) for b, w in split_by(bucket_of(keys))])
+        return blob_rows(KEYS, [(b, own, keys[w].tobytes(), np.minimum(counts[w], 65535).astype("<u2").tobytes()) for b, w in split_by(bucket_of(keys))])
 
     def answer(table):
         keys, n = joined(table.column("keys"), "<u8")
-        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:k] for b, k in zip(table.column("twice").to_pylist(), n.tolist())]) if len(n) else np.zeros(0, np.uint8)
+        times = joined(table.column("times"), "<u2")[0]
         chunks = np.repeat(table.column("chunk").to_numpy(), n)
         order, heads, counts = unique_counts(keys)
         label = np.empty(len(order), np.int64)
         label[order] = np.repeat(np.arange(len(heads)), counts)
-        again = ((counts > 1) | (np.bincount(label, twice, len(heads)) > 0))[label]
-        hot = (counts > HOT)[label]
+        total = np.bincount(label, times, len(heads))
+        again, hot = (total > 1)[label], (total > HOT)[label]
         return blob_rows(ANSWERS, [(c, keys[w[~hot[w]]].tobytes(), keys[w[hot[w]]].tobytes()) for c, w in split_by_mask(chunks, again)])
 
     def split_by_mask(values, mask):

@@ -44,7 +44,8 @@ class Chunk:
         order = pa.array(self.order)
         self.ids = ids.take(order)
         body = table.column("body").combine_chunks()
-        self.data, self.offsets = flat((body.cast(pa.large_string()) if isinstance(body, pa.Array) else body).take(order))
+        self.data, self.offsets = flat(body.cast(pa.large_string()).take(order))
+        pa.default_memory_pool().release_unused()
 
 
 def minima(items: np.ndarray, borders: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
