@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import byte_bpe, sharding, substring_dedup, suffix_dedup
+from lexloom.llm import byte_bpe, minhash, sharding, substring_dedup, suffix_dedup
 
 #: The public rank file that operator 6 and the pipeline use.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,12 +27,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op8_minhash, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
