@@ -27,8 +27,8 @@ BINS = BANDS * ROWS
 FINE, SIGMAS = 512, 4.5
 #: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Rows of a strip when a large group is searched.
-STRIP = 2048
+#: Shingles of a strip (nodes left over) and of a piece (nodes compared with) when a group is searched.
+STRIP, PIECE = 1_000_000, 2_000_000
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -141,11 +141,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def search_groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that a fine sketch can't rule out, in groups with members left over.
+    """Links (u, v) of the nodes left over in each group.
 
-    rows: (group, node, n, label, left, strips). Nodes left over are dealt into strips of the
-    group and compared with the whole group, block by block, on 8-bit coordinates; only pairs of
-    different labels whose estimate is near the threshold come out.
+    rows: (group, node, n, label, left, strips, pieces). Nodes left over are dealt into strips of
+    their group and meet all of the group, a piece at a time, so a task holds a bounded part of
+    it. There a fine sketch rules out partners, nearest ones are verified on the whole sets first,
+    and one link to a label makes the label's other members needless. Only links come out.
     """
     least = percent / 100 - SIGMAS * (percent / 100 * (1 - percent / 100) / FINE) ** 0.5
 
@@ -157,30 +158,37 @@ def search_groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for row, end in blocks(edge, 1 << 16):
                 table = sketches(np.concatenate(sets_[row:end]), counts[row:end], FINE)
                 blobs += [x.tobytes() for x in (mix(table) & U(255)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["node", "shingles", "sketch"])
 
     def compare(table):
-        node, n, label, left, build = (table.column(c).to_numpy() for c in ("node", "n", "label", "left", "build"))
+        node, n, label, asks = (table.column(c).to_numpy() for c in ("node", "n", "label", "asks"))
         grid = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, FINE)
-        u, v = [], []
-        build = np.flatnonzero(build)
-        for i in np.flatnonzero(left):
+        whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        u, v, build = [], [], np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks):
             fit = build[(label[build] != label[i]) & (100 * n[build] >= percent * n[i]) & (100 * n[i] >= percent * n[build])]
-            for k in range(0, len(fit), 4096):
-                part = fit[k : k + 4096]
-                close = part[(grid[part] == grid[i]).mean(1) >= least]
-                u.append(np.minimum(node[close], node[i]))
-                v.append(np.maximum(node[close], node[i]))
-        u, v = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (u, v))
+            near = np.concatenate([(grid[fit[k : k + 4096]] == grid[i]).mean(1) for k in range(0, len(fit), 4096)]) if len(fit) else np.zeros(0)
+            met = set()
+            for k in np.argsort(-near, kind="stable"):
+                if near[k] < least:
+                    break
+                j = fit[k]
+                if label[j] not in met:
+                    both = len(np.intersect1d(whole[i], whole[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        met.add(label[j])
+                        u.append(min(node[i], node[j]))
+                        v.append(max(node[i], node[j]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    # each left-over node asks in one strip; every node of the group answers in all of its strips
-    asks = rows.where("left").withColumn("strip", F.pmod(F.xxhash64("node"), F.col("strips"))).withColumn("build", F.lit(False))
-    answers = rows.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1))).withColumn("left", F.lit(False)).withColumn("build", F.lit(True))
-    needed = rows.select("node").distinct()
-    sketched = sets.join(needed, "node", "left_semi").mapInArrow(fine, "node bigint, sketch binary")
-    dealt = asks.select("group", "strip", "node", "n", "label", "left", "build").unionByName(answers.select("group", "strip", "node", "n", "label", "left", "build"))
-    return dealt.join(sketched, "node").groupBy("group", "strip").applyInArrow(compare, "u bigint, v bigint").distinct()
+    spread = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    at = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
+    columns = ["group", "strip", "piece", "node", "n", "label", "asks"]
+    asks = rows.where("left").withColumn("strip", at("strips")).withColumn("piece", spread("pieces")).withColumn("asks", F.lit(True))
+    answers = rows.withColumn("piece", at("pieces")).withColumn("strip", spread("strips")).withColumn("asks", F.lit(False))
+    sketched = sets.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(fine, "node bigint, shingles binary, sketch binary")
+    dealt = asks.select(columns).unionByName(answers.select(columns))
+    return dealt.join(sketched, "node").groupBy("group", "strip", "piece").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,9 +235,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     named = banded.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     hub_names = hubs.join(labels, hubs.hub == labels.node, "left").select("band", F.coalesce("label", "hub").alias("group"))
     both = named.join(hub_names, "band").select("group", "node", "n", "label", (F.col("label") != F.col("group")).alias("left")).distinct()
-    sized = both.groupBy("group").agg(F.sum(F.col("left").cast("long")).alias("over")).where("over > 0")
-    rows = both.join(sized, "group").withColumn("strips", F.ceil(F.col("over") / STRIP).cast("long")).drop("over")
-    more = stage(verify(stage(search_groups(stage(rows, "groups"), sets, percent), "pairs"), sets, percent), "links")
+    sized = both.groupBy("group").agg(F.sum(F.when(F.col("left"), F.col("n"))).alias("over"), F.sum("n").alias("all")).where("over > 0")
+    deal = lambda total, most: F.ceil(F.col(total) / most).cast("long")
+    rows = both.join(sized.select("group", deal("over", STRIP).alias("strips"), deal("all", PIECE).alias("pieces")), "group")
+    more = stage(search_groups(stage(rows, "groups"), sets, percent), "links")
     if more.limit(1).count():
         labels = components(edges.union(more))
 
