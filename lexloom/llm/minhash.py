@@ -154,8 +154,8 @@ def search_groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
             counts = np.array([len(s) for s in sets_], np.int64)
-            blobs, edge = [], np.concatenate([[0], np.cumsum(counts)])
-            for row, end in blocks(edge, 1 << 16):
+            blobs, edge = [], np.concatenate([[0], np.cumsum(counts + FINE)])  # a sketch takes room too
+            for row, end in blocks(edge, 1 << 19):
                 table = sketches(np.concatenate(sets_[row:end]), counts[row:end], FINE)
                 blobs += [x.tobytes() for x in (mix(table) & U(255)).astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["node", "shingles", "sketch"])
