@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import byte_bpe, minhash, sharding, substring_dedup, suffix_dedup
+from lexloom.llm import byte_bpe, line_dedup, minhash, sharding, substring_dedup, suffix_dedup
 
 #: The public rank file that operator 6 and the pipeline use.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,13 +32,38 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.remove_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+windows AS (
+  SELECT doc_id, pos, [line, lead(line, 1) OVER d, lead(line, 2) OVER d] AS w, lead(pos, 2) OVER d AS last
+  FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM windows WHERE last IS NOT NULL)
+  WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, pos + i AS pos FROM later, (VALUES (0), (1), (2)) v(i))
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos
+GROUP BY l.doc_id
+"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op8_minhash, op10_sharding)}
+    return {f.__name__: f for f in (op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op8_minhash, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL}
