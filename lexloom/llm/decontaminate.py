@@ -18,11 +18,13 @@ from lexloom.llm.bytesets import LOWER, Prefix, blocks, expand, flat, words
 from lexloom.llm.staging import stage
 
 #: Words of a passage of the SVD, its rank and spare columns, and the seed of its random start.
-PASSAGE, RANK, SPARE, SEED = 32, 64, 16, 7
-#: Words of a step; windows are 2, 4 or 8 steps, begin at every step, and meet the items of about their length.
-STEP, SPANS = 8, (2, 4, 8)
-#: Least cosine of a candidate, and share of the item's distinct words that its window must hold.
-COSINE, SHARED = 0.55, 0.5
+PASSAGE, RANK, SPARE, SEED = 32, 64, 8, 7
+#: Leading components that are left out: they carry what all texts of a language share.
+LEADING = 24
+#: Words of a step; windows are 2, 3 or 4 steps, begin at every step, and meet the items of at most 24, 40 or more words.
+STEP, SPANS, LENGTHS = 16, (2, 3, 4), (24, 40)
+#: Least cosine of a candidate, and share of the item's idf weight that its window must hold.
+COSINE, SHARED = 0.5, 0.5
 #: Longest common subsequence, as a share of the item, of a copy; of a paraphrase, which must also have ANSWER_SHARE of the last ANSWER words.
 COPY, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.85, 0.7, 5, 0.6
 #: Bytes of benchmark text that are handled, and broadcast, at once; a larger benchmark takes more rounds.
@@ -52,8 +54,7 @@ class Items:
         every = self.ids_of(hashes)
         self.words = [every[first[i] : first[i + 1]] for i in keep]
         lengths = np.array([len(w) for w in self.words], np.int64)
-        self.span = np.array([min(range(len(SPANS)), key=lambda k: abs(SPANS[k] * STEP - n)) for n in lengths], np.int64)
-        self.distinct = [np.unique(w) for w in self.words]
+        self.span = np.searchsorted(LENGTHS, lengths)
 
     def ids_of(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -83,7 +84,7 @@ def id_rows(docs: DataFrame, items, key: str, text: str) -> DataFrame:
 def id_blocks(batch: pa.RecordBatch, column: int):
     """(first row, ids, first word of each text and the end) of runs of whole texts."""
     data, offsets = flat(batch.column(column))
-    for row, end in blocks(offsets, 1 << 20):
+    for row, end in blocks(offsets, 1 << 18):
         part = data[offsets[row] : offsets[end]]
         yield row, np.frombuffer(part.tobytes(), "<u4").astype(np.int64), (offsets[row : end + 1] - offsets[row]) // 4
 
@@ -134,18 +135,17 @@ def total_blocks(rows: DataFrame, make, n_rows: int, n_columns: int) -> np.ndarr
     return out
 
 
-def scatter_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` summed by index."""
+def sorted_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` summed by an index that never falls."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(index):
-        order = np.argsort(index, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(index[order]) != 0]))
-        out[index[order[heads]]] = np.add.reduceat(values[order], heads, axis=0)
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(index) != 0]))
+        out[index[heads]] = np.add.reduceat(values, heads, axis=0)
     return out
 
 
-def latent_words(rows: DataFrame, n_words: int, spark) -> np.ndarray:
-    """Latent vector of each word id (0 for others): idf times the leading right singular vectors."""
+def latent_words(rows: DataFrame, n_words: int, spark) -> tuple[np.ndarray, np.ndarray]:
+    """(latent vector, idf) of each word id, 0 for other words: idf times right singular vectors."""
 
     def count(batches):
         df = np.zeros((n_words + 1, 1))
@@ -165,33 +165,36 @@ def latent_words(rows: DataFrame, n_words: int, spark) -> np.ndarray:
     start = np.random.default_rng(SEED).standard_normal((n_words + 1, wide)).astype(np.float32)
     given = spark.sparkContext.broadcast((idf.astype(np.float32), start))
 
-    def project(batch, basis, weight):
+    def project(batch, weighted):
         for _, ids, first in id_blocks(batch, 0):
             used, own, n = passages(ids, first)
             if len(used):
-                yield used, own, scatter_sum(own, basis[used] * weight[used][:, None], n)
+                yield used, own, sorted_sum(own, weighted[used], n)
 
     def reach(batches):  # A'(A start)
         weight, basis = given.value
-        total = np.zeros((n_words + 1, basis.shape[1]))
+        weighted, total = basis * weight[:, None], np.zeros(basis.shape)
         for batch in batches:
-            for used, own, y in project(batch, basis, weight):
-                total += scatter_sum(used, y[own] * weight[used][:, None], n_words + 1)
-        return total
+            for used, own, y in project(batch, weighted):
+                order = np.argsort(used, kind="stable")
+                heads = np.flatnonzero(np.concatenate([[True], np.diff(used[order]) != 0]))
+                total[used[order[heads]]] += np.add.reduceat(y[own[order]], heads, axis=0)
+        return total * weight[:, None]
 
     basis, _ = np.linalg.qr(total_blocks(ids, reach, n_words + 1, wide))
-    held = spark.sparkContext.broadcast(basis.astype(np.float32))
+    held = spark.sparkContext.broadcast((basis * idf[:, None]).astype(np.float32))
 
     def gram(batches):  # (A basis)'(A basis)
-        weight, total = given.value[0], np.zeros((basis.shape[1], basis.shape[1]))
+        total = np.zeros((wide, wide))
         for batch in batches:
-            for _, _, y in project(batch, held.value, weight):
+            for _, _, y in project(batch, held.value):
                 total += y.T @ y
         return total
 
-    values, turn = np.linalg.eigh(total_blocks(ids, gram, basis.shape[1], basis.shape[1]))
-    leading = basis @ turn[:, np.argsort(-values)[:RANK]]
-    return (leading * idf[:, None]).astype(np.float32)
+    values, turn = np.linalg.eigh(total_blocks(ids, gram, wide, wide))
+    order = np.argsort(-values)
+    kept = order[LEADING:RANK] if n_words > 4 * RANK else order[:RANK]  # a small benchmark has no such components
+    return ((basis @ turn[:, kept]) * idf[:, None]).astype(np.float32), idf.astype(np.float32)
 
 
 def common_subsequence(masks: dict[int, int], n: int, other: list[int]) -> int:
@@ -215,12 +218,13 @@ def places(ids: np.ndarray) -> dict[int, int]:
 class Judge:
     """Finds the items that texts hold."""
 
-    def __init__(self, items: Items, latent: np.ndarray):
-        self.items, self.latent = items, latent
-        norm = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
-        self.vectors = norm(np.array([latent[w].sum(0) for w in items.words], np.float32).reshape(len(items.words), -1))
+    def __init__(self, items: Items, latent: np.ndarray, idf: np.ndarray):
+        self.items, self.latent, self.idf = items, latent, idf
+        vectors = np.array([latent[w].sum(0) for w in items.words], np.float32).reshape(len(items.words), -1)
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+        self.weights = np.array([idf[w].sum() for w in items.words])
         self.has = np.zeros((len(items.words), len(items.vocabulary) + 1), bool)
-        for i, some in enumerate(items.distinct):
+        for i, some in enumerate(items.words):
             self.has[i, some] = True
         self.masks = [places(w) for w in items.words]
         self.tails = [places(w[-ANSWER:]) for w in items.words]
@@ -234,32 +238,28 @@ class Judge:
         if not len(used):
             return []
         text = np.repeat(np.arange(len(sizes)), sizes)[used]
-        step = base[text] + (used - first[text]) // STEP
-        sums = scatter_sum(step, self.latent[ids[used]], int(base[-1]))
-        sums = np.concatenate([[np.zeros(sums.shape[1], np.float32)], np.cumsum(sums, axis=0, dtype=np.float64)])
+        sums = sorted_sum(base[text] + (used - first[text]) // STEP, self.latent[ids[used]], int(base[-1]))
         owner = np.repeat(np.arange(len(sizes)), steps)
-        out = []
+        left = base[owner + 1] - np.arange(len(owner))  # steps to the text's end
+        vectors, out = sums.copy(), []
         for k, span in enumerate(SPANS):
+            for step in range(1 if not k else SPANS[k - 1], span):
+                vectors[: max(0, len(sums) - step)] += np.where((left > step)[: max(0, len(sums) - step), None], sums[step:], np.float32(0))
             mine = np.flatnonzero(self.items.span == k)
             if not len(mine):
                 continue
-            begin = np.arange(int(base[-1]))
-            stop = np.minimum(begin + span, base[owner + 1])
-            vectors = (sums[stop] - sums[begin]).astype(np.float32)
-            norms = np.linalg.norm(vectors, axis=1)
-            for a in range(0, len(begin), 8192):
-                near = vectors[a : a + 8192] @ self.vectors[mine].T >= COSINE * np.maximum(norms[a : a + 8192], 1e-6)[:, None]
-                w, i = np.nonzero(near)
+            least = COSINE * np.maximum(np.linalg.norm(vectors, axis=1), 1e-6)
+            for a in range(0, len(vectors), 4096):
+                w, i = np.nonzero(vectors[a : a + 4096] @ self.vectors[mine].T >= least[a : a + 4096, None])
                 if not len(w):
                     continue
                 w, i = w + a, mine[i]
                 low = first[owner[w]] + (w - base[owner[w]]) * STEP
                 high = np.minimum(low + span * STEP, first[owner[w] + 1])
-                part = expand(low, high - low)
+                word = ids[expand(low, high - low)]
                 pair = np.repeat(np.arange(len(w)), high - low)
-                hit = self.has[i[pair], ids[part]] & (ids[part] > 0)
-                different = np.unique(pair[hit] * np.int64(len(self.items.vocabulary) + 1) + ids[part[hit]]) // (len(self.items.vocabulary) + 1)
-                enough = np.bincount(different, minlength=len(w)) >= SHARED * np.array([len(self.items.distinct[x]) for x in i])
+                share = np.bincount(pair, self.has[i[pair], word] * self.idf[word], len(w))
+                enough = share >= SHARED * self.weights[i]
                 out += zip(owner[w[enough]].tolist(), low[enough].tolist(), high[enough].tolist(), i[enough].tolist())
         return out
 
@@ -284,7 +284,7 @@ def _round(docs: DataFrame, ids: list, texts: list[str], key: str, text: str) ->
     items = Items(ids, texts)
     sent = spark.sparkContext.broadcast(items)
     rows = stage(id_rows(docs, sent, key, text), "ids")
-    judge = spark.sparkContext.broadcast((items, latent_words(rows, len(items.vocabulary), spark)))
+    judge = spark.sparkContext.broadcast((items, *latent_words(rows, len(items.vocabulary), spark)))
 
     def run(batches):
         known = Judge(*judge.value)
