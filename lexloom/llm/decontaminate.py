@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.bytesets import LOWER, Prefix, blocks, expand, flat, words
 from lexloom.llm.staging import stage
+from lexloom.llm.sums import sorted_sum, total_blocks
 
 #: Words of a passage of the SVD, its rank and spare columns, and the seed of its random start.
 PASSAGE, RANK, SPARE, SEED = 32, 64, 8, 7
@@ -24,7 +25,7 @@ LEADING = 24
 #: Words of a step; windows are 2, 3 or 4 steps, begin at every step, and meet the items of at most 24, 40 or more words.
 STEP, SPANS, LENGTHS = 16, (2, 3, 4), (24, 40)
 #: Least cosine of a candidate, and share of the item's idf weight that its window must hold.
-COSINE, SHARED = 0.5, 0.5
+COSINE, SHARED = 0.42, 0.45
 #: Longest common subsequence, as a share of the item, of a copy; of a paraphrase, which must also have ANSWER_SHARE of the last ANSWER words.
 COPY, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.85, 0.7, 5, 0.6
 #: Bytes of benchmark text that are handled, and broadcast, at once; a larger benchmark takes more rounds.
@@ -99,51 +100,6 @@ def passages(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[used], own[used], int(count.sum())
 
 
-def total_blocks(rows: DataFrame, make, n_rows: int, n_columns: int) -> np.ndarray:
-    """Sum over all partitions of an n_rows x n_columns matrix; make(batches) gives a partition's.
-
-    Partitions' matrices are added up block by block on the executors; the driver gets the sum,
-    whose size depends on the benchmark alone.
-    """
-    block = max(1, (1 << 17) // n_columns)
-    spec = "part int, cells binary"
-
-    def fill(batches):
-        total = make(batches)
-        yield pa.RecordBatch.from_arrays([pa.array(range(0, n_rows, block), pa.int32()), pa.array([total[a : a + block].astype("<f8").tobytes() for a in range(0, n_rows, block)], pa.binary())], ["part", "cells"])
-
-    def add(batches):
-        at, total = None, None
-        for batch in batches:
-            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
-                cells = np.frombuffer(cells.as_buffer(), "<f8")
-                if part == at:
-                    total = total + cells
-                    continue
-                if at is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "cells"])
-                at, total = part, cells
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "cells"])
-
-    partial = rows.mapInArrow(fill, spec)
-    parts = partial.repartition(-(-n_rows // block), "part").sortWithinPartitions("part").mapInArrow(add, spec).collect()
-    out = np.zeros((n_rows, n_columns))
-    for row in parts:
-        cells = np.frombuffer(row.cells, "<f8").reshape(-1, n_columns)
-        out[row.part : row.part + len(cells)] = cells
-    return out
-
-
-def sorted_sum(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Rows of ``values`` summed by an index that never falls."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(index):
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(index) != 0]))
-        out[index[heads]] = np.add.reduceat(values, heads, axis=0)
-    return out
-
-
 def latent_words(rows: DataFrame, n_words: int, spark) -> tuple[np.ndarray, np.ndarray]:
     """(latent vector, idf) of each word id, 0 for other words: idf times right singular vectors."""
 

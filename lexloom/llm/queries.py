@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules, sharding, substring_dedup, suffix_dedup
+from lexloom.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
 #: The public rank file that operator 6 and the pipeline use.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("print")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = quality_classifier.score(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("print")
 
@@ -70,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontamination, op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op8_minhash, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_decontamination, op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op8_minhash, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
