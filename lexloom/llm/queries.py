@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from lexloom.llm import byte_bpe, decontaminate, line_dedup, lm_score, minhash, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
 #: The public rank file that operator 6 and the pipeline use.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_score.score(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path(RANKS))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -77,7 +82,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_decontamination, op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op8_minhash, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_decontamination, op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op7_lm_score, op8_minhash, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
