@@ -30,6 +30,9 @@ BROADCAST_IDS = 500_000
 #: Shingles of a strip (nodes left over) and of a piece (nodes compared with) when a group is searched.
 STRIP, PIECE = 1_000_000, 2_000_000
 
+#: Classes whose rows have no id are named by their fingerprints, from here on; ids are smaller.
+NAMELESS = 1 << 62
+
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -70,11 +73,11 @@ def sketches(hashes: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
 
 
 def sketch_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, first and second (fingerprints of the set), bands."""
+    """doc_id, print (hash of the text), n_shingles, first and second (fingerprints of the set), bands."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(2))
             out = [[], [], [], []]
             for row, end in blocks(offsets):
                 hashes, counts = shingle_sets(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], size)
@@ -92,9 +95,10 @@ def sketch_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                     column.append(values)
             counts, first, second, bands = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(counts) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], ["doc_id", "n_shingles", "first", "second", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), lists], ["doc_id", "print", "n_shingles", "first", "second", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, n_shingles bigint, first bigint, second bigint, bands array<bigint>")
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("print"), body).mapInArrow(run, "doc_id bigint, print bigint, n_shingles bigint, first bigint, second bigint, bands array<bigint>")
 
 
 def set_rows(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
@@ -194,11 +198,12 @@ def search_groups(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Link documents whose sets of ``size``-word shingles have Jaccard similarity percent/100 or more.
 
-    Returns doc_id, n_shingles, component_id (smallest id that can be reached, itself included),
-    kept (doc_id = component_id). A-Z are lower-cased. A text with fewer words than a shingle is
+    Returns doc_id, print (hash of the text), n_shingles, component_id (smallest id that can be
+    reached, itself included), kept (doc_id = component_id). A-Z are lower-cased. A text with fewer words than a shingle is
     one shingle; null texts, empty texts and texts without words have none and are linked with
     nothing. Rows of one id are one document for linking and each keep their row; rows without an
-    id belong to the component of the same texts' ids, or to themselves. Other columns aren't read.
+    id belong to a component as any do, and where it has no id at all they are kept and it is null.
+    Ids are less than 2**62. Other columns aren't read.
 
     Equal sets are one class from the start, so a group of copies makes one row. In each band's
     bucket the classes are compared with its most central one, the one in the largest buckets;
@@ -207,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     found = stage(sketch_rows(docs, size, key, text), "sketches")
     classes = stage(
         found.where("n_shingles > 0").groupBy("first", "second", "n_shingles")
-        .agg(F.coalesce(F.min("doc_id"), F.col("first")).alias("node"), F.first("bands").alias("bands")),
+        .agg(F.coalesce(F.min("doc_id"), F.col("first").bitwiseAND((1 << 62) - 1).bitwiseOR(NAMELESS)).alias("node"), F.first("bands").alias("bands")),
         "classes",
     )
     banded = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
@@ -244,5 +249,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     named = classes.select("first", "second", "n_shingles", "node").join(labels, "node", "left").select("first", "second", "n_shingles", F.coalesce("label", "node").alias("component"))
     out = found.drop("bands").join(named, ["first", "second", "n_shingles"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.coalesce("component", F.lit(0)) < NAMELESS, F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "print", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of the table that ``near_duplicates`` keeps, with all their columns."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_print")), "left_semi")

@@ -49,7 +49,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4).drop("print")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
