@@ -238,6 +238,9 @@ class Judge:
 def _round(docs: DataFrame, ids: list, texts: list[str], key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     items = Items(ids, texts)
+    if not items.words:
+        print_ = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+        return docs.select(F.col(key).alias("doc_id"), print_.alias("print"), F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("share"))
     sent = spark.sparkContext.broadcast(items)
     rows = stage(id_rows(docs, sent, key, text), "ids")
     judge = spark.sparkContext.broadcast((items, *latent_words(rows, len(items.vocabulary), spark)))
