@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import textops as T
-from lexloom.operators import bpe, dataset, tensor, unigram
+from lexloom.operators import bpe, dataset, gpt, pretrained, tensor, unigram
 from lexloom.sources import corpus
 
 QUERIES: dict = {}
@@ -382,3 +383,130 @@ FROM (SELECT vec_id, embedding[1]::DOUBLE AS p, embedding[2]::DOUBLE AS g FROM e
 def adamw_step(spark, sf_dir):
     zero = F.lit(0.0)
     return _vectors(spark, sf_dir).select("vec_id", F.round(tensor.adamw(F.get("v", F.lit(0)), F.get("v", F.lit(1)), zero, zero, 1).getField("p"), 6).alias("p"))
+
+
+@query(f"SELECT vec_id, list_transform(list_zip(v, range(0, 64)), lambda z: round(z[1] + sin((vec_id % 32) * (z[2] + 1) / 64.0::DOUBLE), 5)) AS y FROM (SELECT vec_id, {VEC} AS v FROM embeddings)")
+def positional_add(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).withColumn("pos", F.col("vec_id") % 32)
+    places = spark.range(32).select(F.col("id").alias("pos"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda j: F.sin(F.col("id") * j / F.lit(64.0))).alias("p"))
+    return tensor.add_positions(rows, places).select("vec_id", _round("v").alias("y"))
+
+
+@query(f"SELECT item_id AS doc, place, round(e.embedding[1]::DOUBLE, 5) AS y FROM (SELECT item_id, generate_subscripts({PLAIN}, 1) - 1 AS place, length(unnest({PLAIN})) AS id FROM benchmark) JOIN embeddings e ON e.vec_id = id")
+def embedding_lookup(spark, sf_dir):
+    ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.transform(T.split_words(F.col("text")), lambda w: F.length(w).cast("long")).alias("ids"))
+    found = tensor.embed(ids, _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v"))
+    return found.select("doc", F.col("place").cast("long").alias("place"), F.round(F.get("v", F.lit(0)), 5).alias("y"))
+
+
+@query(f"""WITH up AS (SELECT vec_id, i, list_sum(list_transform(range(1, 65), lambda j: v[j] * (((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE))) AS x FROM (SELECT vec_id, {VEC} AS v FROM embeddings), range(1, 9) t(i)),
+act AS (SELECT vec_id, i, x * 0.5 * (1 + sign(x) * ({ERF})) AS a FROM (SELECT vec_id, i, x, z, 1 / (1 + 0.3275911 * z) AS t FROM (SELECT vec_id, i, x, abs(x) / sqrt(2.0) AS z FROM up))),
+hidden AS (SELECT vec_id, list(a ORDER BY i) AS h FROM act GROUP BY vec_id)
+SELECT vec_id, list_transform(range(1, 5), lambda o: round(list_sum(list_transform(range(1, 9), lambda i: h[i] * (((o * 5 + i * 3) % 7 - 3) / 10.0::DOUBLE))), 4) + 0.0) AS y FROM hidden""")
+def feed_forward(spark, sf_dir):
+    up = F.array(*[F.array(*[F.lit(((i * 7 + j * 3) % 11 - 5) / 10.0) for j in range(1, 65)]) for i in range(1, 9)])
+    down = F.array(*[F.array(*[F.lit(((o * 5 + i * 3) % 7 - 3) / 10.0) for i in range(1, 9)]) for o in range(1, 5)])
+    return _vectors(spark, sf_dir).select("vec_id", F.transform(tensor.feed_forward(F.col("v"), up, down), lambda x: F.round(x, 4) + F.lit(0.0)).alias("y"))
+
+
+@query(f"""SELECT vec_id, list_position(list_transform(range(1, 65), lambda i: list_sum(p[1:i]) > u), true)::INT - 1 AS drawn FROM (
+  SELECT vec_id, (vec_id * 37 % 101) / 101.0::DOUBLE AS u, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (SELECT vec_id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM (SELECT vec_id, {VEC} AS v FROM embeddings)))""")
+def multinomial_given_u(spark, sf_dir):
+    u = (F.col("vec_id") * 37 % 101) / F.lit(101.0)
+    return _vectors(spark, sf_dir).select("vec_id", tensor.draw(tensor.softmax(F.col("v")), u).alias("drawn"))
+
+
+# -- more of tokenizers and data sets ---------------------------------------------------------------
+@query(f"SELECT doc_id, {PLAIN} AS words FROM documents")
+def split_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.split_words(F.col("text")).alias("words"))
+
+
+@query(f"WITH {trained_ctes('conversations', 'conv_id * 1000 + turn', 1)} SELECT word, {tokens_of('s')} AS tokens FROM w1")
+def apply_one_merge(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    state = bpe.with_tokens(bpe.word_counts(talk))
+    top = bpe.best_pair(state).first()
+    return state.select("word", T.unwrap(bpe.merged(F.col("s"), top.l, top.r)).alias("tokens"))
+
+
+@query(f"WITH {trained_ctes('benchmark', 'item_id', 20)} SELECT * FROM ({merge_rows(20)})")
+def train_word_bpe_20(spark, sf_dir):
+    return trained(spark, sf_dir, "benchmark", 20, key="item_id")[0].merge_table(spark)
+
+
+@query(f"WITH {trained_ctes('benchmark', 'item_id', 20)}, {vocab_ctes(20)} SELECT count(*) AS vocab_size FROM vocab")
+def vocab_size(spark, sf_dir):
+    return trained(spark, sf_dir, "benchmark", 20, key="item_id")[0].vocabulary().agg(F.count("*").alias("vocab_size"))
+
+
+@query()
+def train_word_bpe_2000(spark, sf_dir):
+    return trained(spark, sf_dir, n=2000)[0].merge_table(spark)
+
+
+@query(f"WITH {LINES}, {GRAMS}, {PIECES} SELECT piece, round(ln(count(*) OVER ()), 6) AS cost FROM pieces WHERE ord <= 1000")
+def unigram_uniform_scores(spark, sf_dir):
+    pieces = unigram.initial_pieces(unigram.ngrams(unigram.sentences(table(spark, sf_dir, "benchmark"), "item_id")), 1000)
+    return pieces.select("piece", F.round(F.log(F.count("*").over(Window.partitionBy())), 6).alias("cost"))
+
+
+@query(f"WITH {CHARS} SELECT pos::BIGINT AS pos, id AS x, lead(id) OVER (ORDER BY pos) AS y FROM stream QUALIFY y IS NOT NULL")
+def shifted_targets(spark, sf_dir):
+    stream = _stream(spark, sf_dir)
+    at = dataset.windows(stream, dataset.strided_starts(stream, 1, 1), 1)
+    return at.select(F.col("start").alias("pos"), F.get("x", F.lit(0)).alias("x"), F.get("y", F.lit(0)).alias("y"))
+
+
+@query(f"WITH {CHARS} SELECT list(id ORDER BY pos) FILTER (WHERE pos >= 100 AND pos < 164) AS ids, count(*) AS length FROM stream")
+def token_range(spark, sf_dir):
+    stream = _stream(spark, sf_dir)
+    return dataset.token_range(stream, 100, 164).crossJoin(stream.agg(F.count("*").alias("length")))
+
+
+@query(f"SELECT conv_id, turn, array_to_string({PLAIN}, '') AS text FROM conversations")
+def pretrained_detokenize(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", pretrained.detokenize(T.split_words(F.col("text"))).alias("text"))
+
+
+#: The tokenizer file of the pre-trained queries.
+PRETRAINED = "byte_bpe_50k.json"
+
+
+@query()
+def pretrained_tokenize(spark, sf_dir):
+    model = pretrained.Pretrained(spark, public_tokenizers.path(PRETRAINED))
+    return table(spark, sf_dir, "documents").select("doc_id", model.tokenize(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def pretrained_round_trip(spark, sf_dir):
+    model = pretrained.Pretrained(spark, public_tokenizers.path(PRETRAINED))
+    return table(spark, sf_dir, "documents").select("doc_id", model.decode(model.encode(F.col("text"))).alias("text"))
+
+
+# -- language model ----------------------------------------------------------------------------------
+def _model(spark, sf_dir, iters):
+    """A small model of the benchmark's characters."""
+    stream = _stream(spark, sf_dir).withColumn("id", F.least("id", F.lit(255)))
+    model = gpt.Gpt(gpt.Config(256, 16, 2, 2, 32))
+    return gpt.Trainer(model, gpt.Training(16, 3e-3, 0.01, iters)).train(stream, stream.count()), stream
+
+
+@query()
+def train_loss_curve(spark, sf_dir):
+    losses = _model(spark, sf_dir, 200)[0].history
+    return spark.createDataFrame(list(enumerate(losses)), "iter int, loss double")
+
+
+@query()
+def gpt_window_losses(spark, sf_dir):
+    trainer, stream = _model(spark, sf_dir, 100)
+    return trainer.model.window_losses(dataset.windows(stream, dataset.strided_starts(stream, 16, 16), 16))
+
+
+@query()
+def gpt_generate(spark, sf_dir):
+    trainer, _ = _model(spark, sf_dir, 100)
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.least(F.ascii(c), F.lit(255)))
+    return trainer.model.generate(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), ids.alias("ids")), 32, top_k=5)

@@ -12,8 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import textops as T
+from lexloom.operators import merge_loop
 from lexloom.plans.cut import cut
 
+#: Up to so many distinct words the rounds run incrementally in the driver's memory (about 1 KB a word).
+LOCAL_WORDS = 1_000_000
+#: Up to so many merges are one expression; longer lists run in a vectorised function.
+FEW_MERGES = 16
+
 
 def words(docs: DataFrame, mode: str = "word", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, word) of every word; CJK characters are words of their own in word mode."""
@@ -54,6 +60,8 @@ def merged(s: Column, left: str, right: str) -> Column:
 
 def apply_merges(s: Column, merges: list[tuple[str, str]]) -> Column:
     """All merges in learned order."""
+    if len(merges) > FEW_MERGES:
+        return merge_loop.merged_by(s, merges)
     for left, right in merges:
         s = merged(s, left, right)
     return s
@@ -66,28 +74,46 @@ class Bpe:
     mode: str = "word"
     num_merges: int | None = None
     min_freq: int = 2
+    local_words: int = LOCAL_WORDS
     merges: list[tuple[str, str]] = field(default_factory=list)
     freqs: list[int] = field(default_factory=list)
     state: DataFrame | None = None
 
     def train(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> "Bpe":
-        """Learn merges, one aggregation over the distinct words for each."""
+        """Learn merges from the distinct words.
+
+        Up to ``local_words`` of them, counts of pairs are updated in place; beyond, every
+        round is one aggregation over the table. Both learn the same merges.
+        """
         rounds = self.num_merges if self.num_merges is not None else (10 if self.mode == "word" else 100)
+        start = cut(with_tokens(word_counts(docs, self.mode, key, text), self.mode))
+        small = start.count() <= self.local_words
+        found, self.state = self._learn_here(start, rounds) if small else self._learn_there(start, rounds)
         self.merges, self.freqs = [], []
-        state = cut(with_tokens(word_counts(docs, self.mode, key, text), self.mode))
+        for pair, freq in found:
+            if pair not in self.merges:  # a pair that wins again keeps its first rank
+                self.merges.append(pair)
+                self.freqs.append(freq)
+        return self
+
+    def _learn_here(self, start: DataFrame, rounds: int):
+        table = start.select("doc", "pos", "s", "cnt").toPandas().sort_values(["doc", "pos"])  # local_words rows at most
+        words = ((s[1:-1].split(T.CLOSE + T.OPEN), int(n)) for s, n in zip(table["s"], table["cnt"]))
+        found = merge_loop.learn(words, rounds, self.min_freq)
+        return found, start.withColumn("s", apply_merges(F.col("s"), [pair for pair, _ in found]))
+
+    def _learn_there(self, state: DataFrame, rounds: int):
+        found = []
         for n in range(1, rounds + 1):
             top = best_pair(state).collect()  # one row
             if not top or top[0].freq < self.min_freq:
                 break
             pair = (top[0].l, top[0].r)
-            if pair not in self.merges:  # a pair that wins again keeps its first rank
-                self.merges.append(pair)
-                self.freqs.append(top[0].freq)
+            found.append((pair, top[0].freq))
             state = state.withColumn("s", merged(F.col("s"), *pair))
             if n % 16 == 0:
                 state = cut(state)
-        self.state = state
-        return self
+        return found, state
 
     def merge_table(self, spark) -> DataFrame:
         """(rank, l, r, replacement, freq)."""

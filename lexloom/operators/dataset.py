@@ -25,6 +25,12 @@ def windows(stream: DataFrame, starts: DataFrame, block: int) -> DataFrame:
     return cut.where(F.size("y") == block)
 
 
+def token_range(stream: DataFrame, first: int, end: int) -> DataFrame:
+    """One row with the ids of first <= pos < end; a range is cut to fit one row."""
+    part = stream.where(F.col("pos").between(first, end - 1)).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("v"))
+    return part.select(F.transform("v", lambda v: v.getField("id")).alias("ids"))
+
+
 def strided_starts(stream: DataFrame, block: int, stride: int) -> DataFrame:
     """Every stride-th start of a whole window."""
     return stream.where(F.col("pos") % stride == 0).select(F.col("pos").alias("start"))

@@ -40,6 +40,28 @@ def gelu(x: Column) -> Column:
     return x * 0.5 * (F.lit(1.0) + erf)
 
 
+def feed_forward(x: Column, up: Column, down: Column) -> Column:
+    """Two linear maps with a GELU between them."""
+    return linear(F.transform(linear(x, up), gelu), down)
+
+
+def embed(ids: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(doc, place, id, v): the vector of every id of (doc, ids); (id, v) is a vocabulary's table."""
+    return ids.select("doc", F.posexplode("ids").alias("place", "id")).join(vectors, "id").select("doc", "place", "id", "v")
+
+
+def add_positions(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Add the vector p of each row's pos to v; (pos, p) has a context window's rows."""
+    return rows.join(places, "pos").withColumn("v", F.zip_with("v", "p", lambda a, b: a + b)).drop("p")
+
+
+def draw(p: Column, u: Column) -> Column:
+    """The first place (from 0) whose running sum is over u; the last if rounding leaves none."""
+    step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["at"] + F.when(s["sum"] + x > u, 0).otherwise(1)).alias("at"))
+    at = F.aggregate(p, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), step)["at"]
+    return F.least(at, F.size(p) - 1)
+
+
 def split_heads(x: Column, heads: int, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.slice(x, h * width + 1, F.lit(width)))
 
