@@ -192,7 +192,7 @@ def tokenize_word_bpe(spark, sf_dir):
 @query(f"WITH {trained_ctes('documents', 'doc_id', 10)}, {vocab_ctes(10)}, {ENCODED.format(n=10)} SELECT doc, list(id ORDER BY pos, place) AS ids FROM coded GROUP BY doc")
 def encode_docs(spark, sf_dir):
     model, docs = trained(spark, sf_dir)
-    return bpe.encode(model.tokenize(docs), model.vocabulary())
+    return model.encode(docs, model.vocabulary())
 
 
 @query(f"""WITH {trained_ctes('benchmark', 'item_id', 10)}, {vocab_ctes(10)},
@@ -202,8 +202,7 @@ SELECT count(*) AS n, count(*) FILTER (WHERE v.id IS NULL) AS unknown FROM sym L
 def encode_unk_rate(spark, sf_dir):
     model, _ = trained(spark, sf_dir, "benchmark", key="item_id")
     talk = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
-    plain = bpe.Bpe(merges=[]).tokenize(talk)
-    ids = bpe.encode(plain, model.vocabulary()).select(F.explode("ids").alias("id"))
+    ids = bpe.Bpe(merges=[]).encode(talk, model.vocabulary()).select(F.explode("ids").alias("id"))
     return ids.agg(F.count("*").alias("n"), F.count_if(F.col("id") == 0).alias("unknown"))
 
 
@@ -211,7 +210,7 @@ def encode_unk_rate(spark, sf_dir):
 def decode_ids(spark, sf_dir):
     model, docs = trained(spark, sf_dir, "benchmark", key="item_id")
     vocabulary = model.vocabulary()
-    return bpe.decode(bpe.encode(model.tokenize(docs, "item_id"), vocabulary), vocabulary)
+    return bpe.decode(model.encode(docs, vocabulary, "item_id"), vocabulary)
 
 
 @query(f"SELECT item_id AS doc, trim(array_to_string({PLAIN}, ' ')) AS text FROM benchmark")

@@ -83,7 +83,7 @@ class Coder:
         """(doc, ids)"""
         if self.kind == "pretrained":
             return docs.select(F.col("doc_id").alias("doc"), self.model.encode(F.col("text")).alias("ids"))
-        return bpe.encode(self.model.tokenize(docs), self.vocabulary)
+        return self.model.encode(docs, self.vocabulary)
 
     def decode(self, ids: DataFrame) -> DataFrame:
         """(doc, text)"""

@@ -37,7 +37,7 @@ def join_cjk(text: Column) -> Column:
 
 def wrap(tokens: Column) -> Column:
     """An array of tokens as one string in which literal replacement merges pairs."""
-    return F.when(F.size(tokens) > 0, F.concat(F.lit(OPEN), F.array_join(tokens, CLOSE + OPEN), F.lit(CLOSE))).otherwise("")
+    return F.concat(F.lit(OPEN), F.array_join(tokens, CLOSE + OPEN), F.lit(CLOSE))
 
 
 def unwrap(tokens: Column) -> Column:

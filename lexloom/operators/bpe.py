@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import textops as T
 from lexloom.operators import merge_loop
 from lexloom.plans.cut import cut
+from lexloom.plans.spread import spread
 
 #: Up to so many distinct words the rounds run incrementally in the driver's memory (about 1 KB a word).
 LOCAL_WORDS = 1_000_000
@@ -29,7 +30,7 @@ def words(docs: DataFrame, mode: str = "word", key: str = "doc_id", text: str =
 
 def word_counts(docs: DataFrame, mode: str = "word", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, cnt, doc, pos): distinct words with their counts and first places."""
-    counted = words(docs, mode, key, text).groupBy("word").agg(F.count("*").alias("cnt"), F.min(F.struct("doc", "pos")).alias("first"))
+    counted = words(spread(docs.select(key, text)), mode, key, text).groupBy("word").agg(F.count("*").alias("cnt"), F.min(F.struct("doc", "pos")).alias("first"))
     return counted.select("word", "cnt", "first.doc", "first.pos")
 
 
@@ -40,9 +41,10 @@ def with_tokens(counts: DataFrame, mode: str = "word") -> DataFrame:
 
 def pair_stats(state: DataFrame) -> DataFrame:
     """(l, r, freq, doc, pos, place): adjacent pairs, overlaps counted, with first places."""
-    tokens = state.select("cnt", "doc", "pos", T.unwrap(F.col("s")).alias("k")).where(F.size("k") > 1)
-    pairs = F.zip_with(F.expr("slice(k, 1, size(k) - 1)"), F.expr("slice(k, 2, size(k) - 1)"), lambda l, r: F.struct(l.alias("l"), r.alias("r")))
-    each = tokens.select("cnt", "doc", "pos", F.posexplode(pairs).alias("place", "p"))
+    k = F.split(F.translate("s", T.OPEN, ""), T.CLOSE)  # the last one is empty
+    tokens = state.select("cnt", "doc", "pos", k.alias("k"))
+    pairs = F.arrays_zip(F.col("k").alias("l"), F.slice("k", F.lit(2), F.size("k")).alias("r"))
+    each = tokens.select("cnt", "doc", "pos", F.posexplode(pairs).alias("place", "p")).where("p.r <> ''")
     counted = each.groupBy("p.l", "p.r").agg(F.sum("cnt").alias("freq"), F.min(F.struct("doc", "pos", "place")).alias("first"))
     return counted.select("l", "r", "freq", "first.doc", "first.pos", "first.place")
 
@@ -141,6 +143,16 @@ class Bpe:
         known = start.select("word", T.unwrap(apply_merges(F.col("s"), self.merges)).alias("tokens"))
         return every.join(known, "word").select("doc", "pos", "word", "tokens")
 
+    def encode(self, docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """(doc, ids) without a shuffle: merges and vocabulary (bounded by the merges) go to every task, which keeps the words it has met.
+
+        A text without words has no row, as when its tokens are packed.
+        """
+        body = T.isolate_cjk(F.col(text)) if self.mode == "word" else F.col(text)
+        split = spread(docs.select(key, text)).select(F.col(key).alias("doc"), T.split_words(body).alias("words")).where(F.size("words") > 0)
+        known = {r.token: r.id for r in vocabulary.select("token", "id").collect()}
+        return split.select("doc", merge_loop.encoder(self.merges, known, self.mode)(F.col("words")).alias("ids"))
+
 
 def number_tokens(seen: DataFrame) -> DataFrame:
     """Ids from (token, freq, first): unknown is 0, others 1.. by first place. The vocabulary alone is ordered."""

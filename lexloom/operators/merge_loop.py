@@ -6,9 +6,10 @@ one aggregation a round over the whole table (``bpe.Bpe`` runs that beyond the b
 
 from __future__ import annotations
 
+import gc
 import heapq
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from lexloom.functions import textops as T
 
 Pair = tuple[str, str]
+#: Words a task remembers before it starts anew.
+MOST_SEEN = 500_000
 
 
 def merge_tokens(tokens: list[str], left: str, right: str) -> list[str]:
@@ -38,7 +41,7 @@ class PairCounts:
 
     def __init__(self, words: Iterable[tuple[list[str], int]]):
         self.tokens, self.weight = [], []
-        self.count: Counter = Counter()
+        self.count: dict[Pair, int] = defaultdict(int)
         self.where: dict[Pair, set[int]] = defaultdict(set)
         self.tied: dict[int, set[Pair]] = defaultdict(set)
         for n, (tokens, weight) in enumerate(words):
@@ -79,18 +82,20 @@ class PairCounts:
 
     def merge(self, pair: Pair) -> None:
         """Merge a pair in every word that holds it."""
-        moved: Counter = Counter()
+        moved: dict[Pair, int] = defaultdict(int)
         for n in list(self.where[pair]):
-            before = self.tokens[n]
+            before, weight = self.tokens[n], self.weight[n]
             after = self.tokens[n] = merge_tokens(before, *pair)
-            old, new = Counter(zip(before, before[1:])), Counter(zip(after, after[1:]))
-            for p in old.keys() | new.keys():
-                if by := (new[p] - old[p]) * self.weight[n]:
-                    moved[p] += by
-                if p not in new:
-                    self.where[p].discard(n)
-                elif p not in old:
-                    self.where[p].add(n)
+            old, new = list(zip(before, before[1:])), list(zip(after, after[1:]))
+            for p in old:
+                moved[p] -= weight
+            for p in new:
+                moved[p] += weight
+            old, new = set(old), set(new)
+            for p in old - new:
+                self.where[p].discard(n)
+            for p in new - old:
+                self.where[p].add(n)
         for p, by in moved.items():
             if by:
                 self._move(p, by)
@@ -98,11 +103,17 @@ class PairCounts:
 
 def learn(words: Iterable[tuple[list[str], int]], rounds: int, min_freq: int) -> list[tuple[Pair, int]]:
     """(pair, count) of every round."""
-    state, out = PairCounts(words), []
-    while len(out) < rounds and (top := state.best()) and top[1] >= min_freq:
-        out.append(top)
-        state.merge(top[0])
-    return out
+    collect = gc.isenabled()
+    gc.disable()  # millions of small lists, none of them in cycles
+    try:
+        state, out = PairCounts(words), []
+        while len(out) < rounds and (top := state.best()) and top[1] >= min_freq:
+            out.append(top)
+            state.merge(top[0])
+        return out
+    finally:
+        if collect:
+            gc.enable()
 
 
 def apply_rounds(tokens: list[str], ranks: dict[Pair, list[int]]) -> list[str]:
@@ -120,11 +131,45 @@ def apply_rounds(tokens: list[str], ranks: dict[Pair, list[int]]) -> list[str]:
     return tokens
 
 
-def merged_by(s: Column, rounds: list[Pair]) -> Column:
-    """A long list of merges on wrapped tokens; an expression of one call a merge would grow too deep."""
+def ranks_of(rounds: Iterable[Pair]) -> dict[Pair, list[int]]:
+    """The rounds of every pair."""
     ranks: dict[Pair, list[int]] = {}
     for n, pair in enumerate(rounds):
         ranks.setdefault(tuple(pair), []).append(n)
+    return ranks
+
+
+def encoder(rounds: list[Pair], ids: dict[str, int], mode: str):
+    """A function from a column of words to one of ids (0: unknown); words met before are remembered, up to a bound."""
+    ranks, seen = ranks_of(rounds), {}
+
+    def one(word: str) -> list[int]:
+        symbols = list(word) if mode == "word" else [f"{b:02X}" for b in word.encode()]
+        return [ids.get(t, 0) for t in apply_rounds([*symbols, T.EOW], ranks)]
+
+    @F.pandas_udf("array<int>")
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for words in lists:
+            if words is None:
+                out.append(None)
+                continue
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            row = []
+            for word in words:
+                if (found := seen.get(word)) is None:
+                    found = seen[word] = one(word)
+                row += found
+            out.append(row)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def merged_by(s: Column, rounds: list[Pair]) -> Column:
+    """A long list of merges on wrapped tokens; an expression of one call a merge would grow too deep."""
+    ranks = ranks_of(rounds)
 
     @F.pandas_udf("string")
     def run(wrapped: pd.Series) -> pd.Series:

@@ -67,6 +67,15 @@ def test_long_merge_lists_match_the_expression(spark):
     assert spark.sql("SELECT '' AS s UNION ALL SELECT NULL").select(bpe.apply_merges(F.col("s"), merges).alias("s")).where("s <> ''").count() == 0
 
 
+@pytest.mark.parametrize("mode", ["word", "byte"])
+def test_encoding_without_a_shuffle_matches_the_join(spark, mode):
+    rows = spark.createDataFrame([(0, "low 你好 lower"), (1, ""), (2, None), (3, "zß x low"), (4, " \n")], "doc_id bigint, text string")
+    model = bpe.Bpe(mode, num_merges=4).train(rows)
+    vocabulary = model.vocabulary()
+    expected = {r.doc: r.ids for r in bpe.encode(model.tokenize(rows), vocabulary).collect()}
+    assert {r.doc: r.ids for r in model.encode(rows, vocabulary).collect()} == expected and expected.keys() == {0, 3}
+
+
 def small(dropout=0.0):
     config = gpt.Config(11, 6, 2, 2, 8, dropout)
     return config, {k: w.astype(np.float64) for k, w in gpt.init(config).items()}
