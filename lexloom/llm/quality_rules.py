@@ -19,6 +19,8 @@ from lexloom.llm.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of the documents that an estimate rests on; concentration steps; documents that a group has at least.
 SHARE, STEPS, LEAST = 0.75, 4, 60
+#: Tables of up to so many groups (21 numbers each) are broadcast; larger ones are joined by shuffles.
+MOST_GROUPS = 20_000
 #: Chance of rejecting a document of a normal population, before the floors make it smaller still.
 TAIL = 1e-8
 #: Transformed statistics, with the least standard deviation that is believed of each: where
@@ -128,8 +130,13 @@ def _floor2(i: int) -> float:
     return list(FLOORS.values())[i] ** 2
 
 
-def estimate(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Minimum-covariance-determinant estimate of each group: centre m{i} and inverse factor w{i}_{j}."""
+def estimate(vectors: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
+    """Minimum-covariance-determinant estimate of each group: centre m{i} and inverse factor w{i}_{j}.
+
+    ``few``: the groups are counted and no more than MOST_GROUPS; their rows are then sent to
+    every task, so that the steps move partial aggregates alone.
+    """
+    side = F.broadcast if few else lambda table: table
     first = vectors.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)])
     spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
     start = first.select(
@@ -139,11 +146,11 @@ def estimate(vectors: DataFrame, keys: list[str]) -> DataFrame:
     )
     now = stage(_inverse_factor(start, keys), "scatter")
     for _ in range(STEPS):
-        far = vectors.join(now, keys).select(*keys, *[f"x{i}" for i in range(DIM)], *[f"m{i}" for i in range(DIM)], _distance().alias("d"))
+        far = vectors.join(side(now), keys).select(*keys, *[f"x{i}" for i in range(DIM)], *[f"m{i}" for i in range(DIM)], _distance().alias("d"))
         near = far.groupBy(*keys).agg(F.percentile_approx("d", SHARE, 1000).alias("most"))
         delta = lambda i: F.col(f"x{i}") - F.col(f"m{i}")
         sums = (
-            far.join(near, keys).where("d <= most").groupBy(*keys)
+            far.join(side(near), keys).where("d <= most").groupBy(*keys)
             .agg(
                 F.count("*").alias("n"),
                 *[F.first(f"m{i}").alias(f"o{i}") for i in range(DIM)],
@@ -188,12 +195,14 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     pools = stage(pools, "pools")
     numbers = [f"x{i}" for i in range(DIM)]
     small = pools.where("not own").limit(1).count() > 0
-    levels = facts.join(pools, ["lang", "source"]).where("own").select("pool_lang", "pool_source", *numbers)
+    few = 2 * pools.count() + 1 <= MOST_GROUPS  # with the languages' and the whole table's
+    side = F.broadcast if few else lambda table: table
+    levels = facts.join(side(pools), ["lang", "source"]).where("own").select("pool_lang", "pool_source", *numbers)
     if small:  # estimates over a whole language, and over everything, for the small groups
-        levels = levels.union(facts.join(pools.where("not own").select("lang", "pool_lang").distinct(), "lang").where("pool_lang <> '*'").select("pool_lang", F.lit("*").alias("pool_source"), *numbers))
+        levels = levels.union(facts.join(side(pools.where("not own").select("lang", "pool_lang").distinct()), "lang").where("pool_lang <> '*'").select("pool_lang", F.lit("*").alias("pool_source"), *numbers))
         levels = levels.union(facts.select(F.lit("*").alias("pool_lang"), F.lit("*").alias("pool_source"), *numbers))
-    estimates = estimate(levels, ["pool_lang", "pool_source"])
-    scored = facts.join(pools, ["lang", "source"]).join(estimates, ["pool_lang", "pool_source"], "left").withColumn("distance", _distance())
+    estimates = estimate(levels, ["pool_lang", "pool_source"], few)
+    scored = facts.join(side(pools), ["lang", "source"]).join(side(estimates), ["pool_lang", "pool_source"], "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

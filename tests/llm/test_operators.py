@@ -149,7 +149,9 @@ def test_chi_square():
     assert abs(quality_rules.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3
 
 
-def test_outliers_are_rejected(spark):
+@pytest.mark.parametrize("groups", [20_000, 0])
+def test_outliers_are_rejected(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality_rules, "MOST_GROUPS", groups)
     draw = random.Random(2)
     good = [(i, prose(draw, draw.randint(80, 200)), "en", "s") for i in range(300)]
     bad = [(300 + i, prose(draw, 100).replace(" ", " %% ").replace("a", "#"), "en", "s") for i in range(20)]
