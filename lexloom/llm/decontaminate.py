@@ -5,6 +5,8 @@ match, so they only take up places. A randomised SVD of the TF-IDF passages of t
 corpus, summed over all partitions, gives every word a latent vector. Windows of every text
 are compared with every item by cosine; near ones are settled on the words
 themselves: a longest common subsequence, and for paraphrases the item's last words.
+Long items are searched in overlapping pieces, and short ones, which drown in a window's
+vector, by their rarest words; both are settled on the whole item.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ PASSAGE, RANK, SPARE, SEED = 32, 64, 8, 7
 LEADING = 24
 #: Words of a step; windows are 2, 3 or 4 steps, begin at every step, and meet the items of at most 24, 40 or more words.
 STEP, SPANS, LENGTHS = 16, (2, 3, 4), (24, 40)
-#: Least cosine of a candidate, and share of the item's idf weight that its window must hold.
+#: Items of more than LONG words are searched in pieces of PIECE words, HOP apart; ones of less than SHORT words by rare words.
+LONG, PIECE, HOP, SHORT = 64, 48, 24, 12
+#: Least cosine of a candidate, and share of the item's (or piece's) idf weight that its window must hold.
 COSINE, SHARED = 0.42, 0.45
 #: Longest common subsequence, as a share of the item, of a copy; of a paraphrase, which must also have ANSWER_SHARE of the last ANSWER words.
 COPY, PARAPHRASE, ANSWER, ANSWER_SHARE = 0.85, 0.7, 5, 0.6
+#: Cells (piece, word) up to which a table says which piece holds which word; beyond, a sorted list does.
+CELLS = 1 << 27
 #: Bytes of benchmark text that are handled, and broadcast, at once; a larger benchmark takes more rounds.
 ITEM_BYTES = 4 << 20
 
@@ -43,6 +49,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return Prefix(data, 0).ranges(starts, ends), first
 
 
+def piece_starts(n: int) -> list[int]:
+    """Where the pieces begin by which an item of n words is searched; none of a short one."""
+    if n < SHORT:
+        return []
+    return [0] if n <= LONG else [*range(0, n - PIECE, HOP), n - PIECE]
+
+
 class Items:
     """The benchmark's items as word ids; id 0 is any other word."""
 
@@ -54,7 +67,8 @@ class Items:
         self.vocabulary = np.unique(hashes)
         every = self.ids_of(hashes)
         self.words = [every[first[i] : first[i + 1]] for i in keep]
-        lengths = np.array([len(w) for w in self.words], np.int64)
+        self.pieces = [(i, a, w[a : a + PIECE] if len(w) > LONG else w) for i, w in enumerate(self.words) for a in piece_starts(len(w))]
+        lengths = np.array([len(w) for _, _, w in self.pieces], np.int64)
         self.span = np.searchsorted(LENGTHS, lengths)
 
     def ids_of(self, hashes: np.ndarray) -> np.ndarray:
@@ -176,28 +190,62 @@ class Judge:
 
     def __init__(self, items: Items, latent: np.ndarray, idf: np.ndarray):
         self.items, self.latent, self.idf = items, latent, idf
-        vectors = np.array([latent[w].sum(0) for w in items.words], np.float32).reshape(len(items.words), -1)
+        parts = [w for _, _, w in items.pieces]
+        vectors = np.array([latent[w].sum(0) for w in parts], np.float32).reshape(len(parts), latent.shape[1])
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-        self.weights = np.array([idf[w].sum() for w in items.words])
-        self.has = np.zeros((len(items.words), len(items.vocabulary) + 1), bool)
-        for i, some in enumerate(items.words):
-            self.has[i, some] = True
-        self.masks = [places(w) for w in items.words]
+        self.weights = np.array([idf[w].sum() for w in parts])
+        self.item = np.array([i for i, _, _ in items.pieces], np.int64)
+        self.start = np.array([a for _, a, _ in items.pieces], np.int64)
+        self.sizes = np.array([len(w) for w in items.words], np.int64)
+        self.wide = len(items.vocabulary) + 1
+        if len(parts) * self.wide <= CELLS:
+            self.has = np.zeros((len(parts), self.wide), bool)
+            for i, some in enumerate(parts):
+                self.has[i, some] = True
+        else:
+            self.has = None
+            self.cells = np.unique(np.concatenate([i * self.wide + w for i, w in enumerate(parts)]))
+        self.masks: dict[int, dict[int, int]] = {}
         self.tails = [places(w[-ANSWER:]) for w in items.words]
-
-    def candidates(self, ids: np.ndarray, first: np.ndarray):
-        """(text, word, end, item): windows near an item by cosine that also share enough of its words."""
+        keys = [(word, i) for i in np.flatnonzero(self.sizes < SHORT).tolist() for word in self.rarest(items.words[i])]
+        keys = np.array(sorted(set(keys)), np.int64).reshape(-1, 2)
+        self.keyed = keys[:, 1]  # short items by rare word: of word w those from at[w] to at[w + 1]
+        self.at = np.searchsorted(keys[:, 0], np.arange(self.wide + 1))
+
+    def rarest(self, ids: np.ndarray) -> list[int]:
+        """So many of a short item's rarest words that no text can hold it without one of them."""
+        missing = len(ids) - int(np.ceil(PARAPHRASE * len(ids) - 1e-9))
+        return ids[np.argsort(-self.idf[ids], kind="stable")[: missing + 1]].tolist()
+
+    def holds(self, piece: np.ndarray, word: np.ndarray) -> np.ndarray:
+        if self.has is not None:
+            return self.has[piece, word]
+        cell = piece * self.wide + word
+        return self.cells[np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)] == cell
+
+    def short_candidates(self, ids: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, begin, end, item): the surroundings of short items' rare words."""
+        count = self.at[ids + 1] - self.at[ids]
+        word = np.flatnonzero(count)
+        item = self.keyed[expand(self.at[ids[word]], count[word])]
+        word = np.repeat(word, count[word])
+        text, n = np.searchsorted(first, word, "right") - 1, self.sizes[item]
+        return list(zip(text.tolist(), (word - 2 * n).tolist(), (word + 2 * n + 1).tolist(), item.tolist()))
+
+    def candidates(self, ids: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, begin, end, item): surroundings of windows near an item or a piece of it by cosine that also share enough of its words."""
         sizes = np.diff(first)
         steps = -(-sizes // STEP)
         base = np.concatenate([[0], np.cumsum(steps)])
         used = np.flatnonzero(ids)
         if not len(used):
             return []
+        out = self.short_candidates(ids, first) if len(self.keyed) else []
         text = np.repeat(np.arange(len(sizes)), sizes)[used]
         sums = sorted_sum(base[text] + (used - first[text]) // STEP, self.latent[ids[used]], int(base[-1]))
         owner = np.repeat(np.arange(len(sizes)), steps)
         left = base[owner + 1] - np.arange(len(owner))  # steps to the text's end
-        vectors, out = sums.copy(), []
+        vectors, long = sums.copy(), []
         for k, span in enumerate(SPANS):
             for step in range(1 if not k else SPANS[k - 1], span):
                 vectors[: max(0, len(sums) - step)] += np.where((left > step)[: max(0, len(sums) - step), None], sums[step:], np.float32(0))
@@ -214,19 +262,31 @@ class Judge:
                 high = np.minimum(low + span * STEP, first[owner[w] + 1])
                 word = ids[expand(low, high - low)]
                 pair = np.repeat(np.arange(len(w)), high - low)
-                share = np.bincount(pair, self.has[i[pair], word] * self.idf[word], len(w))
+                share = np.bincount(pair, self.holds(i[pair], word) * self.idf[word], len(w))
                 enough = share >= SHARED * self.weights[i]
-                out += zip(owner[w[enough]].tolist(), low[enough].tolist(), high[enough].tolist(), i[enough].tolist())
+                w, low, high, i = w[enough], low[enough], high[enough], i[enough]
+                item, n = self.item[i], self.sizes[self.item[i]]
+                piece = n > LONG
+                out += zip(owner[w][~piece].tolist(), (low - n)[~piece].tolist(), (high + n)[~piece].tolist(), item[~piece].tolist())
+                long += zip(owner[w][piece].tolist(), item[piece].tolist(), (low - self.start[i])[piece].tolist())
+        last = (-1, -1, 0)
+        for text, item, begin in sorted(long):  # where the item would begin; near ones are settled at once
+            n = int(self.sizes[item])
+            if (text, item) != last[:2] or begin > last[2] + n // 4:
+                last = (text, item, begin)
+                out.append((text, begin - n // 2, begin + n // 4 + n + n // 2 + LONG, item))
         return out
 
     def found(self, ids: np.ndarray, first: np.ndarray) -> dict[int, dict[int, float]]:
         """text -> item -> largest common share, of the items that the texts hold."""
         out: dict[int, dict[int, float]] = {}
-        for text, low, high, item in self.candidates(ids, first):
+        for text, begin, end, item in self.candidates(ids, first):
             n = len(self.items.words[item])
             if out.get(text, {}).get(item, 0.0) >= 1.0:
                 continue
-            around = ids[max(first[text], low - n) : min(first[text + 1], high + n)].tolist()
+            around = ids[max(first[text], begin) : min(first[text + 1], end)].tolist()
+            if item not in self.masks:
+                self.masks[item] = places(self.items.words[item])
             share = common_subsequence(self.masks[item], n, around) / n
             tail = min(n, ANSWER)
             if share >= COPY or share >= PARAPHRASE and common_subsequence(self.tails[item], tail, around) >= ANSWER_SHARE * tail:
@@ -263,7 +323,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """Say of every document which items of the benchmark (item_id, text) it holds.
 
     Returns doc_id, print (hash of the text), items (their ids, sorted), share (largest part of an
-    item found, 0 if none), contaminated. Null and empty texts hold nothing; items without words
+    item found, 0 if none), contaminated. Items may have any number of words; one of less than SHORT
+words is held where its words stand within twice its length of one another. Null and empty texts hold nothing; items without words
     or null match nothing; repeated rows are judged alike; an empty benchmark leaves every
     document clean; other columns aren't read. The benchmark is taken in rounds of ITEM_BYTES.
     """

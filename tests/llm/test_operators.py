@@ -184,6 +184,33 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.contamination(empty, benchmark).count() == 0
 
 
+def test_decontamination_by_items_of_any_length(spark):
+    draw = random.Random(8)
+    words = [prose(draw, 1) + str(i) for i in range(400)]  # few words, so that all of a text's are in the benchmark
+    some = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    items = [some(n) for n in [3, 4, 5, 6, 8, 10, 11, 12, 64, 65, 141, 160, 200, 300, 600, 1000]]
+    items += [some(40) for _ in range(40)]
+    altered = [" ".join(w if k % 10 else "other" for k, w in enumerate(t.split(), 1)) for t in items]
+    cut = items[15].split()[:500]
+    texts = [some(draw.randint(0, 150)) + "\n" + t + " " + some(draw.randint(0, 150)) for t in items[:16]]
+    texts += [some(70) + " " + t + " " + some(90) for t in altered[8:16]] + [" ".join(cut)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {r.doc_id: r["items"] for r in decontaminate.contamination(table, benchmark).collect()}
+    assert found == {**{i: [i] for i in range(16)}, **{16 + i: [8 + i] for i in range(8)}, 24: []}
+
+
+@pytest.mark.parametrize("cells", [1 << 27, 0])
+def test_pieces_by_list_or_table(monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    items = decontaminate.Items([7, 8], [" ".join(f"w{i}" for i in range(300)), "w1 w2 w3"])
+    draw = np.random.default_rng(0)
+    judge = decontaminate.Judge(items, draw.standard_normal((302, 16)).astype(np.float32), np.ones(302, np.float32))
+    assert [a for i, a, _ in items.pieces] == [*range(0, 252, 24), 252] and len(judge.keyed) == 1
+    ids = np.concatenate([np.zeros(50, np.int64), items.words[0], np.zeros(30, np.int64)])
+    assert judge.found(ids, np.array([0, len(ids)])) == {0: {0: 1.0, 1: 1.0}}
+
+
 def test_common_subsequence():
     item = np.array([1, 2, 3, 2, 5])
     assert decontaminate.common_subsequence(decontaminate.places(item), 5, [9, 2, 3, 9, 5, 1]) == 3
