@@ -257,6 +257,14 @@ def test_attention_probabilities_add_up():
     assert total == pytest.approx(1, abs=1e-3) and losses[-1] < losses[0]
 
 
+def test_context_tells_250_ids_apart():
+    ids = np.tile(np.arange(1, 251), 20)
+    vocabulary, p, _ = attention.train(ids, np.array([0, len(ids)]), 600)
+    scorer = attention.Scorer(vocabulary, p)
+    last = lambda before: scorer.logs(np.array([before - 1, before, 250]), np.array([0, 3]))[2]
+    assert last(249) > last(200) + np.log(10)
+
+
 def test_line_runs(spark, docs, rows, empty):
     cut = line_dedup.remove_runs(docs)
     assert cut.columns == [*docs.columns, "n_lines", "n_removed"]
