@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import byte_bpe, decontaminate, line_dedup, minhash, quality_rules, staging
-from lexloom.llm.queries import RANKS
+from lexloom.llm.queries import PASSAGE, RANKS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go from the texts; no document does."""
-    cut = line_dedup.remove_runs(docs)
+    """Later repeated runs of lines, long lines and whole texts go from the texts; no document does."""
+    cut = line_dedup.remove_runs(docs, words=PASSAGE)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

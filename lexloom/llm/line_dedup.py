@@ -18,20 +18,41 @@ from pyspark.sql import types as T
 from lexloom.llm.bytesets import expand
 
 
-def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, print, fingerprint, first, second, pos): every window of lines, from 0; docs: (doc_id, body, print)."""
-    hashes = F.transform(F.split("body", "\n", -1), lambda line: F.xxhash64(line))
-    starts = F.when(F.size("h") >= window, F.sequence(F.lit(1), F.size("h") - window + 1))
-    one = lambda i: F.struct(
-        F.array_min(F.slice("h", i, window)).alias("fingerprint"),
-        F.xxhash64(F.lit(1), F.slice("h", i, window)).alias("first"),
-        F.xxhash64(F.lit(2), F.slice("h", i, window)).alias("second"),
-        (i - 1).alias("pos"),
-    )
-    return docs.select("doc_id", "print", hashes.alias("h")).select("doc_id", "print", F.explode(F.transform(starts, one)).alias("w")).select("doc_id", "print", "w.*")
-
-
-def remove_runs(docs: DataFrame, window: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def window_rows(docs: DataFrame, window: int, words: int | None) -> DataFrame:
+    """(doc_id, print, fingerprint, first, second, pos, span, takes): every window of lines, from 0; docs: (doc_id, body, print).
+
+    With ``words``, shorter windows come too (span: their lines); takes: whether a copy is to go.
+    """
+    lines = F.split("body", "\n", -1)
+    hashes = F.transform(lines, lambda line: F.xxhash64(line))
+
+    def starts(span, make):
+        return F.transform(F.when(F.size("h") >= span, F.sequence(F.lit(1), F.size("h") - span + 1)), make)
+
+    def one(span, takes):
+        return lambda i: F.struct(
+            F.array_min(F.slice("h", i, span)).alias("fingerprint"),
+            F.xxhash64(F.lit(1), F.slice("h", i, span)).alias("first"),
+            F.xxhash64(F.lit(2), F.slice("h", i, span)).alias("second"),
+            (i - 1).alias("pos"), F.lit(span).alias("span"), takes(i, span).alias("takes"),
+        )
+
+    always = lambda i, span: F.lit(True)
+    if words is None:
+        return docs.select("doc_id", "print", hashes.alias("h")).select("doc_id", "print", F.explode(starts(window, one(window, always))).alias("w")).select("doc_id", "print", "w.*")
+    counted = F.transform(lines, lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")))
+
+    def enough(i, span):
+        n = F.aggregate(F.slice("n", i, span), F.lit(0), lambda a, b: a + b)
+        return (n >= words) | ((F.size("h") == span) & (n > 0))
+
+    every = [starts(window, one(window, always)), *(starts(span, one(span, enough)) for span in range(1, window))]
+    none = F.array().cast("array<struct<fingerprint:bigint,first:bigint,second:bigint,pos:int,span:int,takes:boolean>>")
+    rows = docs.select("doc_id", "print", hashes.alias("h"), counted.alias("n"))
+    return rows.select("doc_id", "print", F.explode(F.concat(*(F.coalesce(e, none) for e in every))).alias("w")).select("doc_id", "print", "w.*")
+
+
+def remove_runs(docs: DataFrame, window: int = 3, key: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """Delete every run of ``window`` or more lines that an earlier place has; keep the first.
 
     A line goes if it is in a window of lines whose equal starts earlier, in the order of (key,
@@ -39,15 +60,18 @@ def remove_runs(docs: DataFrame, window: int = 3, key: str = "doc_id", text: str
     (nulls stay null), and n_lines and n_removed (0 for null texts; an empty text has one
     line). Rows equal in key and text count as one document and keep the same lines. Shorter
     texts stay whole. The kept lines are joined by line feeds again.
+
+    With ``words``, a run of fewer lines goes too if an earlier place has it and it holds so many
+    words or is a whole text with a word.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("print"))
-    windows = window_rows(slim, window)
+    windows = window_rows(slim, window, words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print", "pos")
-    firsts = windows.groupBy("fingerprint", "first", "second").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin <> end").drop("end")
+    firsts = windows.groupBy("fingerprint", "first", "second").agg(F.min(place).alias("origin"), F.max(F.when(F.col("takes"), place)).alias("end")).where("origin <> end").drop("end")
     later = (
-        windows.join(firsts, ["fingerprint", "first", "second"]).where(place > F.col("origin"))
-        .groupBy("doc_id", "print").agg(F.collect_set("pos").alias("starts"))
+        windows.where("takes").join(firsts, ["fingerprint", "first", "second"]).where(place > F.col("origin"))
+        .groupBy("doc_id", "print").agg(F.collect_set(F.col("pos").cast("long") * (window + 1) + F.col("span")).alias("starts"))
         .select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "starts")
     )
 
@@ -63,8 +87,8 @@ def remove_runs(docs: DataFrame, window: int = 3, key: str = "doc_id", text: str
                 counts.append(len(lines))
                 if starts.is_valid and lines:
                     keep = np.ones(len(lines), bool)
-                    first = np.asarray(starts.values, np.int64)
-                    keep[expand(first, np.full(len(first), window))] = False
+                    first, span = np.divmod(np.asarray(starts.values, np.int64), window + 1)
+                    keep[expand(first, span)] = False
                     body = "\n".join(line for line, k in zip(lines, keep.tolist()) if k)
                     gone.append(int((~keep).sum()))
                 else:

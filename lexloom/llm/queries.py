@@ -10,6 +10,8 @@ from lexloom.llm import byte_bpe, decontaminate, line_dedup, lm_score, minhash,
 
 #: The public rank file that operator 6 and the pipeline use.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Words of a passage that line dedup removes although it has less than three lines.
+PASSAGE = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.remove_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), words=PASSAGE)
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 OP9_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -82,7 +89,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_decontamination, op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op7_lm_score, op8_minhash, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_decontamination, op4_suffix_array, op5_substring_dedup, op6_byte_bpe, op7_lm_score, op8_minhash, op9_line_dedup, op9_line_passages, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -274,6 +274,28 @@ def test_line_runs(spark, docs, rows, empty):
     assert line_dedup.remove_runs(odd(spark, rows)).count() == len(rows) + 4
 
 
+def test_passages_of_one_and_two_lines(spark, docs, rows):
+    draw = random.Random(9)
+    long, left, right, short = prose(draw, 50), prose(draw, 30), prose(draw, 20), prose(draw, 49)
+    texts = [f"a\n{long}\nb\n{short}", f"c\n{long}\n{long}\nd", f"{left}\n{right}\ne", f"f\n{left}\n{right}", f"{short}\ng", short, "h\ni", "h\ni", "h", long, "", None, " \n ", " \n "]
+    want = [texts[0], "c\nd", texts[2], "f", texts[4], "", "h\ni", "", "", "", "", "", " \n ", " \n "]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id: r.text or "" for r in line_dedup.remove_runs(table, words=50).collect()} == dict(enumerate(want))
+
+    first, kept = {}, {}
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        gone = [False] * len(lines)
+        for span in (1, 2, 3):
+            for p in range(len(lines) - span + 1):
+                run = tuple(lines[p : p + span])
+                n = len(brute.WORD.findall(" ".join(run)))
+                if first.setdefault(run, (i, p)) != (i, p) and (span == 3 or n >= 50 or len(lines) == span and n):
+                    gone[p : p + span] = [True] * span
+        kept[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
+    assert {r.doc_id: r.text or "" for r in line_dedup.remove_runs(docs, words=50).collect()} == kept
+
+
 def test_shards(spark, docs, rows, empty):
     found = sharding.shard_rows(docs).collect()
     by_shard: dict = {}
