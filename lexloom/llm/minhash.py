@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.bytesets import LOWER, Prefix, blocks, flat, mix, words
@@ -25,14 +25,11 @@ BINS = BANDS * ROWS
 #: Coordinates of the finer sketch by which large buckets are searched, and how far below the
 #: threshold (in standard deviations) its estimate may be.
 FINE, SIGMAS = 512, 4.5
-#: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
+#: At most so many nodes are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Shingles of a strip (nodes left over) and of a piece (nodes compared with) when a group is searched.
 STRIP, PIECE = 1_000_000, 2_000_000
 
-#: Classes whose rows have no id are named by their fingerprints, from here on; ids are smaller.
-NAMELESS = 1 << 62
-
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -101,28 +98,40 @@ def sketch_rows(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("print"), body).mapInArrow(run, "doc_id bigint, print bigint, n_shingles bigint, first bigint, second bigint, bands array<bigint>")
 
 
+def node_name() -> Column:
+    """The name of a class: 63 bits of its fingerprints, so rows with and without an id are named alike."""
+    return F.xxhash64("first", "second", "n_shingles").bitwiseAND((1 << 63) - 1)
+
+
 def set_rows(docs: DataFrame, nodes: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the rows whose id is a node: sorted 64-bit hashes, packed. nodes: (node, first, second)."""
+    """(node, shingles) of the nodes' own rows: sorted 64-bit hashes, packed. nodes: (node, doc_id, print).
+
+    Of rows equal in id and text a task reads one.
+    """
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            data, offsets = flat(batch.column(3))
-            keep, blobs = [], []
-            want = [batch.column(c).to_numpy() for c in (1, 2)]
+            fresh = []
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            data, offsets = flat(batch.column(1))
+            blobs = []
             for row, end in blocks(offsets):
                 hashes, counts = shingle_sets(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], size)
                 edge = np.concatenate([[0], np.cumsum(counts)])
-                for k in range(end - row):
-                    own = hashes[edge[k] : edge[k + 1]]
-                    if len(own) and np.add.reduce(mix(own + U(1))).view(np.int64) == want[0][row + k]:  # this class, not another row of the same id
-                        keep.append(row + k)
-                        blobs.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(blobs, pa.binary())], ["node", "shingles"])
+                blobs += [hashes[edge[k] : edge[k + 1]].tobytes() for k in range(end - row)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
     count = nodes.count()
     wanted = F.broadcast(nodes) if count <= BROADCAST_IDS else nodes
-    rows = docs.select(F.col(key).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(wanted, "node")
-    return rows.select("node", "first", "second", "body").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(body).alias("body_print"), body.alias("body"))
+    own = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("body_print") == F.col("print")))
+    return own.select("node", "body").mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,18 +210,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     Returns doc_id, print (hash of the text), n_shingles, component_id (smallest id that can be
     reached, itself included), kept (doc_id = component_id). A-Z are lower-cased. A text with fewer words than a shingle is
     one shingle; null texts, empty texts and texts without words have none and are linked with
-    nothing. Rows of one id are one document for linking and each keep their row; rows without an
-    id belong to a component as any do, and where it has no id at all they are kept and it is null.
-    Ids are less than 2**62. Other columns aren't read.
+    nothing. Rows of one id are one document for linking, whatever their texts, and each keep their
+    row; rows without an id belong to a component as any do, and where it has no id at all it is
+    null and the rows of one of its texts (the least print) are kept. Other columns aren't read.
 
     Equal sets are one class from the start, so a group of copies makes one row. In each band's
     bucket the classes are compared with its most central one, the one in the largest buckets;
     what stays unlinked is searched by a finer sketch. No pair list of a bucket is made.
     """
     found = stage(sketch_rows(docs, size, key, text), "sketches")
+    # a class's own row is one with its least id, if it has one
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print")
     classes = stage(
         found.where("n_shingles > 0").groupBy("first", "second", "n_shingles")
-        .agg(F.coalesce(F.min("doc_id"), F.col("first").bitwiseAND((1 << 62) - 1).bitwiseOR(NAMELESS)).alias("node"), F.first("bands").alias("bands")),
+        .agg(F.min(own).alias("own"), F.min("print").alias("least_print"), F.first("bands").alias("bands"))
+        .select("first", "second", "n_shingles", "own.doc_id", "own.print", "least_print", node_name().alias("node"), "bands"),
         "classes",
     )
     banded = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
@@ -231,10 +243,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         .select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     )
     pairs = stage(pairs, "pairs")
-    prints = classes.select("node", "first", "second")
-    nodes = stage(banded.select("node").distinct().join(prints, "node").dropDuplicates(["node"]), "nodes")
+    nodes = stage(banded.select("node").distinct().join(classes.select("node", "doc_id", "print"), "node").dropDuplicates(["node"]), "nodes")
     sets = stage(set_rows(docs, nodes, size, key, text), "sets")
-    edges = stage(verify(pairs, sets, percent), "links")
+    ids = found.where("doc_id is not null and n_shingles > 0").select("doc_id", node_name().alias("v"))
+    several = ids.groupBy("doc_id").agg(F.min("v").alias("u"), F.max("v").alias("most")).where("u < most").drop("most")
+    same_id = ids.join(several, "doc_id").where("u < v").select("u", "v").distinct()
+    edges = stage(verify(pairs, sets, percent).union(same_id), "links")
     labels = components(edges)
 
     named = banded.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -247,10 +261,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     if more.limit(1).count():
         labels = components(edges.union(more))
 
-    named = classes.select("first", "second", "n_shingles", "node").join(labels, "node", "left").select("first", "second", "n_shingles", F.coalesce("label", "node").alias("component"))
+    linked = classes.select("node", "doc_id", "least_print").join(labels, "node")
+    heads = linked.groupBy("label").agg(F.min("doc_id").alias("least_id"), F.min("least_print").alias("head"))
+    names = linked.select("node", "label").join(heads, "label").drop("label")
+    alone = F.col("head").isNull()  # a class without links
+    named = classes.join(names, "node", "left").select(
+        "first", "second", "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component"), F.coalesce("head", "least_print").alias("head"),
+    )
     out = found.drop("bands").join(named, ["first", "second", "n_shingles"], "left")
-    component = F.when(F.coalesce("component", F.lit(0)) < NAMELESS, F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "print", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    kept = F.col("doc_id").eqNullSafe(component) & (component.isNotNull() | F.col("head").isNull() | (F.col("print") == F.col("head")))
+    return out.select("doc_id", "print", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

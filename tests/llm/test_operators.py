@@ -92,6 +92,29 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert sorted((r.n_shingles, r.kept) for r in again if r.doc_id is None)[0] == (0, True)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_near_copies_under_null_and_repeated_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
+    draw = random.Random(10)
+    near = lambda t, k: " ".join("changed" if i == k else w for i, w in enumerate(t.split()))
+    a, b, c, d, e, f = (prose(draw, 150) for _ in range(6))
+    table = [
+        (None, a), (None, near(a, 0)), (None, near(a, 149)), (None, near(a, 0)),  # no id at all
+        (None, b), (9, near(b, 0)), (1 << 62, near(b, 149)),  # without an id and with one
+        (20, c), (20, d), (15, near(c, 0)), (30, near(d, 0)), (None, near(d, 149)),  # one id, two texts
+        (None, e), (40, f), (None, "  "), (41, None),
+    ]
+    found = minhash.near_duplicates(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3), 4)
+    prints = {r.print: r.text for r in spark.createDataFrame(table, "doc_id bigint, text string").select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print")).collect()}
+    rows = [(r.doc_id, prints[r.print] or "", r.component_id, r.kept) for r in found.collect()]
+    assert len(rows) == len(table)
+    of = lambda *texts: sorted({(i, x, k) for i, t, x, k in rows if t in texts}, key=str)
+    assert len({t for i, t, x, k in rows if k and t in (a, near(a, 0), near(a, 149))}) == 1
+    assert set(of(b, near(b, 0), near(b, 149))) == {(None, 9, False), (9, 9, True), (1 << 62, 9, False)}
+    assert {(i, x, k) for i, x, k in of(c, d, near(c, 0), near(d, 0), near(d, 149))} == {(20, 15, False), (15, 15, True), (30, 15, False), (None, 15, False)}
+    assert of(e) == [(None, None, True)] and of(f) == [(40, 40, True)] and of("  ") == [(None, None, True)] and of("") == [(41, 41, True)]
+
+
 def test_sketch_fills_every_bin():
     table = minhash.sketches(np.array([7], np.uint64), np.array([1]), minhash.BINS)
     assert (table != minhash.EMPTY).all()
