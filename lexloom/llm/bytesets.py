@@ -6,6 +6,7 @@ UTF-8 bytes of all of them, ``offsets`` the places where each begins and ends.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,14 +76,96 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The prime of the prefix hashes, and masks of its lower halves.
+P61, M32, M31, M30 = U((1 << 61) - 1), U((1 << 32) - 1), U((1 << 31) - 1), U((1 << 30) - 1)
+#: Items whose products are summed up before they are reduced.
+SEGMENT = 1 << 16
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit value modulo P61."""
+    x = (x & P61) + (x >> U(61))
+    return np.minimum(x, x - P61)  # what is below the prime wraps round
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo P61 of values below it, by halves."""
+    ah, al, bh, bl = a >> U(31), a & M31, b >> U(31), b & M31
+    middle = al * bh + ah * bl
+    return reduced((ah * bh << U(1)) + (middle >> U(30)) + ((middle & M30) << U(31)) + al * bl)
+
+
 class Prefix:
-    """Prefix polynomial hashes of a sequence: any range's hash in constant time, modulo 2**64."""
+    """Prefix polynomial hashes of a sequence modulo the prime 2**61 - 1: any range's hash in constant time.
+
+    Two different ranges of n items collide with a chance of n / 2**61 in the choice of the base.
+    (Modulo 2**64 structured strings collide under every base: see Rolling.)
+    """
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, values: np.ndarray, salt: int = 0):
+        n = len(values)
+        self.up, self.down = up, _ = self.powers(salt, n + 1)
+        small = values.dtype == np.uint8
+        self.sums = np.zeros(n + 1, np.uint64)
+        last = U(0)
+        for a in range(0, n, SEGMENT):
+            b = min(n, a + SEGMENT)
+            if small:
+                v = values[a:b].astype(np.uint64) + U(1)
+                low, high = v * (up[a:b] & M32), v * (up[a:b] >> U(32))
+            else:
+                v = times(reduced(mix(values[a:b] + U(0x9E3779B97F4A7C15 * (salt + 1) & (1 << 64) - 1))), up[a:b])
+                low, high = v & M32, v >> U(32)
+            low, high = np.cumsum(low, out=low), np.cumsum(high, out=high)
+            self.sums[a + 1 : b + 1] = reduced(((high << U(32)) & P61) + (high >> U(29)) + low + last)
+            last = self.sums[b]
+
+    @classmethod
+    def powers(cls, salt: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        have = cls._powers.get(salt)
+        if have is None or len(have[0]) < n:
+            prime = int(P61)
+            base = random.Random(f"base {salt}").randrange(1 << 60, prime)
+            have = []
+            for step in (base, pow(base, -1, prime)):
+                row = np.ones(1, np.uint64)
+                while len(row) < max(n, 1 << 12):
+                    row = np.concatenate([row, times(row, np.full(len(row), pow(step, len(row), prime), np.uint64))])
+                have.append(row)
+            cls._powers[salt] = have = tuple(have)
+        return have
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of [start, end) for each pair."""
+        out = self.sums[ends] + (P61 - self.sums[starts])
+        return mix(times(np.minimum(out, out - P61), self.down[starts]))
+
+    def windows(self, length: int) -> np.ndarray:
+        """Hashes of all ranges of one length."""
+        n = len(self.sums) - length
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out = np.empty(n, np.uint64)
+        for a in range(0, n, SEGMENT):
+            b = min(n, a + SEGMENT)
+            part = self.sums[a + length : b + length] + (P61 - self.sums[a:b])
+            out[a:b] = mix(times(np.minimum(part, part - P61), self.down[a:b]))
+        return out
+
+
+class Rolling:
+    """Cheap prefix polynomial hashes modulo 2**64, where equal ranges have to agree and others may.
+
+    Strings built like the Thue-Morse sequence collide under every base, so nothing may rest on
+    two ranges being equal because their hashes are; whoever compares them checks the items too.
+    """
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     _tables: dict[int, np.ndarray] = {}
 
     def __init__(self, values: np.ndarray, salt: int = 0):
-        self.salt = salt
         up, self.down = self.powers(salt, len(values) + 1)
         if values.dtype == np.uint8:
             if salt not in self._tables:

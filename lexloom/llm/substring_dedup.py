@@ -3,9 +3,9 @@
 A window is ``length`` consecutive words. First every partition fills a sketch with
 the grams that are minima of windows; the merged sketch overestimates how often a
 minimum occurs, and so how often any window with that minimum does. The sketch has
-a fixed size, so it can be broadcast. The second pass groups exactly, by 128-bit
-hashes, the windows estimated to occur twice or more: first whole runs of windows
-with one minimum, then the single windows of runs whose minimum occurs again in
+a fixed size, so it can be broadcast. The second pass groups exactly, by two 61-bit
+hashes modulo a prime under different bases, the windows estimated to occur twice or
+more: first whole runs of windows with one minimum, then the single windows of runs whose minimum occurs again in
 another run. None that repeats is lost, and collisions in the sketch only add runs.
 """
 

@@ -5,8 +5,13 @@ only starts whose minimum occurs twice in the corpus can repeat. Those are broug
 together by their minimum, as runs of neighbouring starts with the bytes they need.
 Runs with equal bytes settle at once. The rest are suffix sorted in each group: a
 mergesort whose comparisons find the common extension of two suffixes by binary
-search over prefix polynomial hashes; neighbours in the sorted order that share
-``length`` bytes are repeats, and every such claim is verified on the bytes.
+search over prefix polynomial hashes modulo a prime; neighbours in the sorted order that
+share ``length`` bytes are repeats, and every such claim is verified on the bytes.
+
+A minimum that occurs over HOT times would bring a group that grows with the corpus, so its
+starts are dealt by hashes of their own strings. Equal ones are verified on the bytes within
+a chunk; between chunks two 61-bit hashes under different bases decide (a chance of about
+(length / 2**61)**2 for each pair of different strings).
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexloom.llm.bytesets import Prefix, blocks, expand
+from lexloom.llm.bytesets import P61, Prefix, blocks, expand, reduced, times
 from lexloom.llm.staging import parts_for
 from lexloom.llm.windows import NONE, Chunk, blob_rows, chosen, deal, joined, minima, split_by
 
@@ -53,11 +58,13 @@ def unique_counts(values: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np
 def common(hashes: Prefix, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Length of the common extension of the suffixes at a and b, up to ``limit``: binary search over hashes."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
-    sums, down = hashes.sums, hashes.down
-    base_a, base_b, down_a, down_b = sums[a], sums[b], down[a], down[b]
+    sums = hashes.sums
+    # hashes of the earlier suffix are moved up to the later one's place: one product a comparison
+    front, back = np.minimum(a, b), np.maximum(a, b)
+    base_front, base_back, shift = P61 - sums[front], P61 - sums[back], hashes.up[back - front]
     while True:
         middle = (low + high + 1) >> 1
-        same = (sums[a + middle] - base_a) * down_a == (sums[b + middle] - base_b) * down_b
+        same = times(reduced(sums[front + middle] + base_front), shift) == reduced(sums[back + middle] + base_back)
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         if not (low < high).any():
             return low
@@ -298,6 +305,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
         if hots[0]:
             h1, h2, start = (np.concatenate(c) for c in hots)
             order, heads, counts = unique_counts(h1, h2)
+            follower = np.delete(np.arange(len(order)), heads) if len(order) else order
+            if len(follower):
+                good = same_bytes(chunk.data, start[order[follower - 1]], start[order[follower]], np.full(len(follower), length))
+                heads = np.sort(np.append(heads, follower[~good]))
+                counts = np.diff(np.append(heads, len(order)))
             many = np.repeat(counts > 1, counts)
             done_at.append(start[order[many]])
             done_n.append(np.ones(many.sum(), np.int64))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.bytesets import Prefix, flat, sliding_min
+from lexloom.llm.bytesets import Rolling, flat, sliding_min
 
 NONE = np.uint64(0)
 
@@ -50,7 +50,7 @@ class Chunk:
 
 def minima(items: np.ndarray, borders: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(gram hashes, least gram hash of each window start); windows over a border get NONE."""
-    grams = Prefix(items, 2).windows(gram) | np.uint64(1)
+    grams = Rolling(items, 2).windows(gram) | np.uint64(1)
     least = sliding_min(grams, length - gram + 1)
     if len(least):
         step = np.zeros(len(least) + 1, np.int32)

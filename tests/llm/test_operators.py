@@ -81,6 +81,46 @@ def test_word_repeats(spark, docs, rows, empty, monkeypatch, many):
     assert substring_dedup.remove_repeats(odd(spark, rows)).count() == len(rows) + 4
 
 
+def thue_morse(n, swap=0):
+    """A string and its complement collide in every polynomial hash modulo 2**64."""
+    return "".join("ab"[bin(i).count("1") + swap & 1] for i in range(n))
+
+
+def test_products_modulo_the_prime():
+    draw, prime = np.random.default_rng(0), (1 << 61) - 1
+    a, b = (np.append(draw.integers(0, prime, 500), [0, prime - 1, 1]).astype(np.uint64) for _ in range(2))
+    assert bytesets.times(a, b).tolist() == [int(x) * int(y) % prime for x, y in zip(a, b)]
+    for values in (draw.integers(0, 256, 200_000).astype(np.uint8), draw.integers(0, 1 << 63, 200_000).astype(np.uint64)):
+        values[150_000:150_300] = values[70:370]
+        hashes = bytesets.Prefix(values, 1)
+        assert hashes.windows(300)[70] == hashes.windows(300)[150_000] == hashes.ranges(np.array([70]), np.array([370]))[0] != hashes.windows(300)[71]
+
+
+def test_structured_words_are_told_apart(spark):
+    a, b = thue_morse(1024), thue_morse(1024, 1)
+    rest = " ".join(f"w{i}" for i in range(34))
+    texts = [a + " " + rest, b + " " + rest, a + " x y z", b + " x y z", a + " x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: tuple(r)[1:] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert [found[i] for i in range(5)] == brute.word_repeats(texts, 35) and found[0][1] == found[1][1] == 0
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()}
+    assert near == brute.near_components(list(enumerate(texts)), 4, 80) and near[2][1] != near[3][1] == 3
+    scored = {r.doc_id: r.n_known for r in lm_score.score(docs, F.col("doc_id") != 0, RANKS).collect()}
+    assert scored[0] == 36 and scored[1] == 35 and scored[2] == 2 and scored[3] == 1
+    benchmark = spark.createDataFrame([(0, " ".join([a, *(f"v{i} {a}" for i in range(12))]))], "item_id bigint, text string")
+    held = {r.doc_id: r["items"] for r in decontaminate.contamination(spark.createDataFrame([(0, benchmark.first().text), (1, benchmark.first().text.replace(a, b))], "doc_id bigint, text string"), benchmark).collect()}
+    assert held == {0: [0], 1: []}
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_structured_bytes_are_told_apart(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    a, b, c = thue_morse(4096), thue_morse(4096, 1), prose(random.Random(6), 60)
+    texts = [c + a, c + b, a + c, b[:2000], "q" * 30 + a[1024:2048], c[:199] + b]
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == brute.byte_repeats(texts, 200)
+
+
 def test_near_duplicates(spark, docs, rows, empty):
     want = brute.near_components([r[:2] for r in rows], 4, 80)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()}
