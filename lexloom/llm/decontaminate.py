@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.bytesets import LOWER, Prefix, blocks, expand, flat, words
+from lexloom.llm.rows import without_marks
 from lexloom.llm.staging import stage
 from lexloom.llm.sums import sorted_sum, total_blocks
 
@@ -324,7 +325,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     Returns doc_id, print (hash of the text), items (their ids, sorted), share (largest part of an
     item found, 0 if none), contaminated. Items may have any number of words; one of less than SHORT
-words is held where its words stand within twice its length of one another. Null and empty texts hold nothing; items without words
+    words is held where its words stand within twice its length of one another. Null and empty texts hold nothing; items without words
     or null match nothing; repeated rows are judged alike; an empty benchmark leaves every
     document clean; other columns aren't read. The benchmark is taken in rounds of ITEM_BYTES.
     """
@@ -346,6 +347,9 @@ words is held where its words stand within twice its length of one another. Null
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of the table that hold no item, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_print")), "left_anti")
+    """The rows of the table that hold no item, with all their columns, whatever these are called.
+
+    Null and empty texts stay, holding nothing; rows equal in id and text stay or go together; an
+    empty table stays empty, and an empty benchmark leaves every row.
+    """
+    return without_marks(docs, contamination(docs, benchmark).where("contaminated"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.bytesets import LOWER, Prefix, blocks, flat, mix, words
 from lexloom.llm.graph import components
+from lexloom.llm.rows import with_marks
 from lexloom.llm.staging import stage
 
 #: 24 bands of 4 coordinates: a pair of similarity 0.8 shares none with probability 3e-6.
@@ -212,7 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     one shingle; null texts, empty texts and texts without words have none and are linked with
     nothing. Rows of one id are one document for linking, whatever their texts, and each keep their
     row; rows without an id belong to a component as any do, and where it has no id at all it is
-    null and the rows of one of its texts (the least print) are kept. Other columns aren't read.
+    null and the rows of one of its texts (the least print) are kept. Ids are read as long integers.
+    Other columns aren't read.
 
     Equal sets are one class from the start, so a group of copies makes one row. In each band's
     bucket the classes are compared with its most central one, the one in the largest buckets;
@@ -276,6 +278,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the table that ``near_duplicates`` keeps, with all their columns."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_print")), "left_semi")
+    """The rows of the table that ``near_duplicates`` keeps, with all their columns, whatever these are called.
+
+    Null and empty texts stay, being near to nothing; rows equal in id and text stay or go
+    together; an empty table stays empty.
+    """
+    return with_marks(docs, near_duplicates(docs).where("kept"))

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.rows import with_marks
 from lexloom.llm.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -211,7 +212,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of the table that ``judge`` keeps, with all their columns."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    body_print = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (body_print == F.col("_print")), "left_semi")
+    """The rows of the table that ``judge`` keeps, with all their columns, whatever these are called.
+
+    Null and empty texts go, having no words; rows equal in id and text are kept or go together; an
+    empty table stays empty.
+    """
+    return with_marks(docs, judge(docs).where("kept"))

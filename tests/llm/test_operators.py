@@ -16,7 +16,8 @@ import corpus_pipeline
 from lexloom.llm import attention, byte_bpe, bytesets, decontaminate, graph, line_dedup, lm_score, minhash, quality_classifier, quality_rules, queries, sharding, substring_dedup, suffix_dedup
 
 RANKS = public_tokenizers.path(queries.RANKS)
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, shard int, score double, body binary, print string"
+CLASHING = ["node", "shard", "score", "body", "print", "_id", "_print", "_row_print", "row", "id", "body_print", "starts", "runs", "n_lines", "n_removed", "label", "kept", "chunk", "ids", "items"]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def prose(draw, n):
@@ -32,7 +33,7 @@ def rows():
     texts += ["\n".join(prose(draw, 6) for _ in range(5)) for _ in range(3)]
     texts += [texts[-1] + "\nnew line", "top\n" + texts[-2], "one\ntwo\nthree\none\ntwo\nthree"]
     texts += [prose(draw, 30) for _ in range(20)]
-    return [(i, t, None if i % 7 == 0 else "en", "s" if i % 3 else None, len(t or ""), "n", 3, 0.5, b"z", "p") for i, t in enumerate(texts)]
+    return [(i, t, None if i % 7 == 0 else "en", "s" if i % 3 else None, len(t or ""), *CLASHING) for i, t in enumerate(texts)]
 
 
 @pytest.fixture(scope="module")
@@ -330,13 +331,26 @@ def test_context_tells_250_ids_apart():
 
 def test_line_runs(spark, docs, rows, empty):
     cut = line_dedup.remove_runs(docs)
-    assert cut.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert cut.columns == [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
     found = {r.doc_id: r.text or "" for r in cut.collect()}
     assert [found[r[0]] for r in rows] == brute.kept_lines([r[:2] for r in rows], 3)
     assert line_dedup.remove_runs(empty).count() == 0
     assert line_dedup.remove_runs(odd(spark, rows)).count() == len(rows) + 4
 
 
+def test_fewer_fingerprints_than_windows():
+    lines = [prose(random.Random(i), 4) for i in range(1000)]
+    texts = ["\n".join(lines[:700]), "\n".join(lines[700:]), "", "one", "one\ntwo"]
+    data, offsets = bytesets.flat(pa.array(texts))
+    hashes, text, pos, reach, h1, h2, counts, codes = line_dedup.fingerprints(data, offsets, 3, None)
+    assert len(codes) == counts.sum() == 698 + 298 and len(hashes) < 0.7 * len(codes)
+    assert set(reach.tolist()) <= {3, 4, 5} and (codes % 2).all() and set(text.tolist()) == {0, 1}
+    copy = line_dedup.fingerprints(*bytesets.flat(pa.array(["\n".join(lines[100:400])])), 3, None)
+    assert set(copy[0].tolist()) <= set(hashes.tolist())
+    starts, ends, first = line_dedup.line_edges(*bytesets.flat(pa.array(["", "a\n", "", "\n\nb"])))
+    assert first.tolist() == [0, 1, 3, 4, 7] and (ends - starts).tolist() == [0, 1, 0, 0, 0, 0, 1]
+
+
 def test_passages_of_one_and_two_lines(spark, docs, rows):
     draw = random.Random(9)
     long, left, right, short = prose(draw, 50), prose(draw, 30), prose(draw, 20), prose(draw, 49)
@@ -382,6 +396,28 @@ def test_weights_are_kept_and_moves_are_confined(spark):
     assert moved.where("x <> y and y <> 2").count() == 0
 
 
+def test_stages_on_odd_tables(spark, rows, empty):
+    """Nulls, empty texts, repeated rows, an empty table and clashing names pass through every stage."""
+    table = given = odd(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+        after = spark.createDataFrame(stage(spark, table, "/root/testdata/sf0.001").collect(), given.schema)
+        assert after.columns == given.columns and after.count() <= table.count(), name
+        assert all(list(r[c] for c in CLASHING) == CLASHING for r in after.collect()), name
+        alone = stage(spark, given, "/root/testdata/sf0.001").collect()
+        texts = {(r.doc_id, r.text) for r in alone}
+        if name == "quality rules":
+            assert all(t and t.strip() for _, t in texts) and sum(r.doc_id == 5 for r in alone) in (0, 3)
+        if name == "line dedup":
+            assert len(alone) == len(rows) + 4 and {i for i, t in texts if t is None} == {1, None}
+            assert all(r.n_chars == len(r.text or "") for r in alone if r.text != dict((x[0], x[1]) for x in rows).get(r.doc_id))
+        if name in ("near duplicates", "benchmark decontamination"):
+            assert {(0, ""), (1, None), (None, None)} <= texts
+        table = after
+    assert corpus_pipeline.STAGES[-1][1](spark, table, "/root/testdata/sf0.001").count() == table.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
 def test_pipeline(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
