@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, clean documents encoded.
 
 Every stage is a function of (spark, docs, sf_dir). All but the last return the columns of
-``documents``; ``run`` writes what each returns and hands the next one the table read back.
+``documents``, and further columns of the table too, whatever they are called; rows equal in id
+and text stay or go together, and an empty table stays empty. ``run`` writes what each stage
+returns and hands the next one the table read back.
 """
 
 from __future__ import annotations
@@ -15,28 +17,35 @@ from lexloom.llm.queries import PASSAGE, RANKS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them."""
     return quality_rules.keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines, long lines and whole texts go from the texts; no document does."""
-    cut = line_dedup.remove_runs(docs, words=PASSAGE)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Later repeated runs of lines, long lines and whole texts go from the texts; no document does.
+
+    Null texts stay null; ``n_chars``, where the table has it, follows a text that was cut.
+    """
+    cut = line_dedup.cut_rows(docs, words=PASSAGE)
+    row = F.col("row")
+    if "n_chars" in docs.columns:
+        length = F.length(row.getField("text")).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(row.getField("n_chars")))
+    return cut.select(row.alias("row")).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays; texts without words are near to nothing and stay."""
     return minhash.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go; null and empty texts hold none."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded bytes of every document that is left."""
+    """Digests of the ids and of the decoded bytes of every document that is left; null texts count as empty."""
     return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS))
 
 
