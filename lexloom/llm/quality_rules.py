@@ -3,15 +3,15 @@
 Each document has a vector of transformed statistics. For every (language, source) the
 minimum-covariance-determinant estimate of their centre and scatter is found by
 concentration steps: take the half or more of the documents nearest to the present
-estimate, re-estimate from them, repeat; the determinant never grows. Documents whose
-Mahalanobis distance is beyond a chi-square cut are rejected.
+estimate, re-estimate from them, repeat until nothing moves, from three starts. Documents
+whose Mahalanobis distance is beyond a chi-square cut are rejected.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.rows import with_marks
@@ -19,9 +19,15 @@ from lexloom.llm.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of the documents that an estimate rests on; concentration steps; documents that a group has at least.
-SHARE, STEPS, LEAST = 0.75, 4, 60
-#: Tables of up to so many groups (21 numbers each) are broadcast; larger ones are joined by shuffles.
-MOST_GROUPS = 20_000
+SHARE, STEPS, LEAST = 0.75, 12, 60
+#: Fall of the log determinant that still counts as a move.
+SETTLED = 1e-3
+#: Tables of up to so many groups (21 numbers each) are broadcast; of larger ones every group is dealt into SALTS parts.
+MOST_GROUPS, SALTS = 20_000, 32
+#: Quantiles are counted in bins: floors are BINS wide, and so is a distance that grows e-fold; smaller squared distances than NEAREST are alike.
+BINS, NEAREST = 32, 1e-3
+#: Unit of the fixed-point sums.
+FIXED = float(1 << 20)
 #: Chance of rejecting a document of a normal population, before the floors make it smaller still.
 TAIL = 1e-8
 #: Transformed statistics, with the least standard deviation that is believed of each: where
@@ -101,21 +107,19 @@ def vector() -> dict[str, Column]:
     }
 
 
-def _inverse_factor(estimates: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the rows of the inverse Cholesky factor w{i}_{j} to (keys, m{i}, c{i}_{j}); one column after another."""
+def _inverse_factor(estimates: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+    """(keys, more, m{i}, w{i}_{j}, volume): rows of the inverse Cholesky factor of c{i}_{j}, and the log determinant."""
     out = estimates
-    for i in range(DIM):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}_{j}"))
-    for i in range(DIM):
-        for j in range(i + 1):
-            if i == j:
-                value = 1.0 / F.col(f"l{i}_{i}")
-            else:
-                value = -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}")
-            out = out.withColumn(f"w{i}_{j}", value)
-    return out.select(*keys, *[f"m{i}" for i in range(DIM)], *[f"w{i}_{j}" for i in range(DIM) for j in range(i + 1)])
+    for j in range(DIM):  # a column of the factor, its diagonal first
+        rest = lambda i: F.col(f"c{i}_{j}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))  # noqa: B023, E731
+        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.greatest(rest(j), F.lit(1e-12))))
+        if j + 1 < DIM:
+            out = out.withColumns({f"l{i}_{j}": rest(i) / F.col(f"l{j}_{j}") for i in range(j + 1, DIM)})
+    for step in range(DIM):  # a diagonal of the inverse
+        below = lambda i, j: -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}_{i}")
+        out = out.withColumns({f"w{j + step}_{j}": below(j + step, j) if step else 1.0 / F.col(f"l{j}_{j}") for j in range(DIM - step)})
+    volume = sum((2.0 * F.log(f"l{i}_{i}") for i in range(DIM)), F.lit(0.0))
+    return out.select(*keys, *more, *[f"m{i}" for i in range(DIM)], *[f"w{i}_{j}" for i in range(DIM) for j in range(i + 1)], volume.alias("volume"))
 
 
 def _distance() -> Column:
@@ -131,41 +135,108 @@ def _floor2(i: int) -> float:
     return list(FLOORS.values())[i] ** 2
 
 
+def _width(i: int) -> float:
+    return list(FLOORS.values())[i] / BINS
+
+
+def _distance_bin() -> Column:
+    """Bin of a squared distance: the rank by which documents are near, in steps of 1 / BINS of its logarithm."""
+    return F.floor(F.log(F.col("d") + NEAREST) * BINS)
+
+
+def _exact_sum(value: Column) -> Column:
+    """A sum in fixed point, the same in whatever order partitions come."""
+    return F.sum(F.round(value * FIXED).cast("long")) / FIXED
+
+
+def _moments(values: list[Column], name: str) -> list[Column]:
+    """Means {name}{i} and scatters {name}{i}_{j} of the values, as aggregates."""
+    n = F.count("*")
+    mean = [_exact_sum(v) / n for v in values]
+    pairs = [(i, j) for i in range(DIM) for j in range(i + 1)]
+    return [*[m.alias(f"{name}{i}") for i, m in enumerate(mean)], *[(_exact_sum(values[i] * values[j]) / n - mean[i] * mean[j]).alias(f"{name}{i}_{j}") for i, j in pairs]]
+
+
+def _quantile_bins(counted: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """(keys, b0, b1, ...): of each group of (keys, bin, n) the first bin up to which there are so many rows."""
+    order = Window.partitionBy(*keys)
+    up_to = counted.select(*keys, "bin", F.sum("n").over(order.orderBy("bin")).alias("c"), F.sum("n").over(order).alias("t"))
+    return up_to.groupBy(*keys).agg(*[F.min(F.when(F.col("c") >= F.ceil(F.col("t") * share), F.col("bin"))).alias(f"b{k}") for k, share in enumerate(shares)])
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Join rows (with a salt) to their group's row: by broadcast if there are few groups, else every group is dealt into SALTS parts."""
+    if few:
+        return rows.join(F.broadcast(groups), keys, how)
+    return rows.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "salt"], how)
+
+
+def starting_points(vectors: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """(keys, start, m{i}, c{i}_{j}): three deterministic starts of each group.
+
+    0: medians and quartile spreads; 1: medians and the scatter of tanh of the scaled values, which
+    bounds what far rows weigh; 2: mean and scatter of all rows.
+    """
+    each = vectors.select(*keys, F.posexplode(F.array(*[F.floor(F.col(f"x{i}") / _width(i)) for i in range(DIM)])).alias("i", "bin"))
+    cuts = _quantile_bins(each.groupBy(*keys, "i", "bin").agg(F.count("*").alias("n")), [*keys, "i"], [0.25, 0.5, 0.75])
+    at = lambda b, i: F.max(F.when(F.col("i") == i, (F.col(b) + 0.5) * _width(i)))
+    scale = lambda i: F.sqrt(F.pow((at("b2", i) - at("b0", i)) / 1.349, F.lit(2.0)) + _floor2(i))
+    middle = cuts.groupBy(*keys).agg(*[at("b1", i).alias(f"q{i}") for i in range(DIM)], *[scale(i).alias(f"s{i}") for i in range(DIM)])
+    middle = stage(middle, "medians")
+    away = [F.col(f"x{i}") - F.col(f"q{i}") for i in range(DIM)]
+    joined = with_groups(vectors, middle, keys, few)
+    first = lambda c: F.first(c).alias(c)
+    facts = joined.groupBy(*keys).agg(
+        *[first(f"q{i}") for i in range(DIM)], *[first(f"s{i}") for i in range(DIM)],
+        *_moments(away, "a"), *_moments([F.tanh(away[i] / F.col(f"s{i}")) for i in range(DIM)], "h"),
+    )
+    c = F.col
+    diagonal = lambda i, j, value: value if i == j else F.lit(0.0)
+    makers = [
+        (lambda i: c(f"q{i}"), lambda i, j: diagonal(i, j, c(f"s{i}") * c(f"s{i}"))),
+        (lambda i: c(f"q{i}"), lambda i, j: c(f"s{i}") * c(f"s{j}") * c(f"h{i}_{j}") + diagonal(i, j, F.lit(_floor2(i)))),
+        (lambda i: c(f"q{i}") + c(f"a{i}"), lambda i, j: c(f"a{i}_{j}") + diagonal(i, j, F.lit(_floor2(i)))),
+    ]
+    structs = [F.struct(F.lit(k).alias("start"), *[m(i).alias(f"m{i}") for i in range(DIM)], *[s(i, j).alias(f"c{i}_{j}") for i in range(DIM) for j in range(i + 1)]) for k, (m, s) in enumerate(makers)]
+    return facts.select(*keys, F.explode(F.array(*structs)).alias("e")).select(*keys, "e.*")
+
+
 def estimate(vectors: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     """Minimum-covariance-determinant estimate of each group: centre m{i} and inverse factor w{i}_{j}.
 
-    ``few``: the groups are counted and no more than MOST_GROUPS; their rows are then sent to
-    every task, so that the steps move partial aggregates alone.
+    From each start, concentration steps go on until the determinant falls no more (STEPS at most);
+    of the starts the one with the least determinant is taken. A step keeps the nearest SHARE of the
+    group, whole bins of the distance at a time, so it counts and sums in exact integers and comes out
+    alike however rows are dealt. vectors: (keys, x{i}, salt).
+
+    ``few``: the groups are counted and with their starts no more than MOST_GROUPS; their rows are
+    then sent to every task, so that the steps move partial aggregates alone.
     """
-    side = F.broadcast if few else lambda table: table
-    first = vectors.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)])
-    spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
-    start = first.select(
-        *keys,
-        *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)],
-        *[(spread(i) * spread(i) + _floor2(i) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(DIM) for j in range(i + 1)],
-    )
-    now = stage(_inverse_factor(start, keys), "scatter")
+    own = [*keys, "start"]
+    begin = starting_points(vectors, keys, few).withColumn("moved", F.lit(True))
+    now = stage(_inverse_factor(begin, own, ["moved"]), "scatter")
+    numbers = [f"x{i}" for i in range(DIM)]
     for _ in range(STEPS):
-        far = vectors.join(side(now), keys).select(*keys, *[f"x{i}" for i in range(DIM)], *[f"m{i}" for i in range(DIM)], _distance().alias("d"))
-        near = far.groupBy(*keys).agg(F.percentile_approx("d", SHARE, 1000).alias("most"))
-        delta = lambda i: F.col(f"x{i}") - F.col(f"m{i}")
-        sums = (
-            far.join(side(near), keys).where("d <= most").groupBy(*keys)
-            .agg(
-                F.count("*").alias("n"),
-                *[F.first(f"m{i}").alias(f"o{i}") for i in range(DIM)],
-                *[F.avg(delta(i)).alias(f"a{i}") for i in range(DIM)],
-                *[F.avg(delta(i) * delta(j)).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i + 1)],
-            )
+        far = with_groups(vectors, now.where("moved").drop("moved"), keys, few).select(*own, "salt", *numbers, *[f"m{i}" for i in range(DIM)], "volume", _distance().alias("d"))
+        far = far.withColumn("bin", _distance_bin())
+        near = _quantile_bins(far.groupBy(*own, "bin").agg(F.count("*").alias("n")), own, [SHARE])
+        kept = with_groups(far, near, own, few).where("bin <= b0")
+        sums = kept.groupBy(*own).agg(
+            *[F.first(f"m{i}").alias(f"o{i}") for i in range(DIM)], F.first("volume").alias("before"),
+            *_moments([F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIM)], "a"),
         )
         scatter = sums.select(
-            *keys,
+            *own, "before",
             *[(F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(DIM)],
-            *[((F.col(f"s{i}_{j}") - F.col(f"a{i}") * F.col(f"a{j}")) * CONSISTENT + (_floor2(i) if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(DIM) for j in range(i + 1)],
+            *[(F.col(f"a{i}_{j}") * CONSISTENT + (_floor2(i) if i == j else 0.0)).alias(f"c{i}_{j}") for i in range(DIM) for j in range(i + 1)],
         )
-        now = stage(_inverse_factor(scatter, keys), "scatter")
-    return now
+        after = _inverse_factor(scatter, own, ["before"])
+        moved = after.withColumn("moved", F.col("before") - F.col("volume") > SETTLED).drop("before")
+        now = stage(moved.unionByName(now.where("not moved")), "scatter")
+        if not now.where("moved").limit(1).count():
+            break
+    best = now.groupBy(*keys).agg(F.min(F.struct("volume", "start", *[f"m{i}" for i in range(DIM)], *[f"w{i}_{j}" for i in range(DIM) for j in range(i + 1)])).alias("e"))
+    return stage(best.select(*keys, "e.*").drop("volume", "start"), "estimates")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -185,6 +256,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     keep = ["doc_id", "lang", "source", "print"]
     measured = statistics(given.withColumn("print", F.xxhash64(F.coalesce("text", F.lit("")))), keep)
     facts = stage(measured.select("*", *[column.alias(f"x{i}") for i, column in enumerate(vector().values())]), "statistics")
+    # read back from files, a row's number and so its salt are the same whenever a task is run again
+    facts = facts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     sizes = facts.groupBy("lang", "source").agg(F.count("*").alias("n"))
     tongues = sizes.groupBy("lang").agg(F.sum("n").alias("in_lang"))
     pools = sizes.join(tongues, "lang").select(
@@ -194,16 +267,16 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         (F.col("n") >= LEAST).alias("own"),
     )
     pools = stage(pools, "pools")
-    numbers = [f"x{i}" for i in range(DIM)]
+    numbers = [*[f"x{i}" for i in range(DIM)], "salt"]
     small = pools.where("not own").limit(1).count() > 0
-    few = 2 * pools.count() + 1 <= MOST_GROUPS  # with the languages' and the whole table's
-    side = F.broadcast if few else lambda table: table
-    levels = facts.join(side(pools), ["lang", "source"]).where("own").select("pool_lang", "pool_source", *numbers)
+    few = 3 * (2 * pools.count() + 1) <= MOST_GROUPS  # three starts each, with the languages' and the whole table's
+    levels = with_groups(facts, pools, ["lang", "source"], few).where("own").select("pool_lang", "pool_source", *numbers)
     if small:  # estimates over a whole language, and over everything, for the small groups
-        levels = levels.union(facts.join(side(pools.where("not own").select("lang", "pool_lang").distinct()), "lang").where("pool_lang <> '*'").select("pool_lang", F.lit("*").alias("pool_source"), *numbers))
+        tongues = pools.where("not own").select("lang", "pool_lang").distinct()
+        levels = levels.union(with_groups(facts, tongues, ["lang"], few).where("pool_lang <> '*'").select("pool_lang", F.lit("*").alias("pool_source"), *numbers))
         levels = levels.union(facts.select(F.lit("*").alias("pool_lang"), F.lit("*").alias("pool_source"), *numbers))
     estimates = estimate(levels, ["pool_lang", "pool_source"], few)
-    scored = facts.join(side(pools), ["lang", "source"]).join(side(estimates), ["pool_lang", "pool_source"], "left").withColumn("distance", _distance())
+    scored = with_groups(with_groups(facts, pools, ["lang", "source"], few), estimates, ["pool_lang", "pool_source"], few, "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -82,3 +82,52 @@ def kept_lines(rows, window):
                 gone[p : p + window] = [True] * window
         out.append("\n".join(x for x, g in zip(lines, gone) if not g))
     return out
+
+
+def robust_distances(x, rules):
+    """Squared distance of each row of x to its minimum-covariance-determinant estimate; rules: the constants."""
+    import numpy as np
+
+    n, dim = x.shape
+    floors = np.array(list(rules.FLOORS.values()))
+    width = floors / rules.BINS
+    sort = np.sort(np.floor(x / width), axis=0)
+    low, middle, high = ((sort[int(np.ceil(n * s)) - 1] + 0.5) * width for s in (0.25, 0.5, 0.75))
+    scale = np.sqrt(((high - low) / 1.349) ** 2 + floors**2)
+    scatter = lambda y: y.T @ y / len(y) - np.outer(y.mean(0), y.mean(0))
+    bounded = scatter(np.tanh((x - middle) / scale))
+    starts = [(middle, np.diag(scale**2)), (middle, np.outer(scale, scale) * bounded + np.diag(floors**2)), (x.mean(0), scatter(x) + np.diag(floors**2))]
+    squared = lambda m, c: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+    volume = lambda c: np.linalg.slogdet(c)[1]
+    best = None
+    for m, c in starts:
+        for _ in range(rules.STEPS):
+            b, before = np.floor(np.log(squared(m, c) + rules.NEAREST) * rules.BINS), volume(c)
+            near = x[b <= np.sort(b)[int(np.ceil(n * rules.SHARE)) - 1]]
+            m, c = near.mean(0), scatter(near) * rules.CONSISTENT + np.diag(floors**2)
+            if before - volume(c) <= rules.SETTLED:
+                break
+        if best is None or volume(c) < volume(best[1]):
+            best = m, c
+    return squared(*best)
+
+
+def quality_kept(rows, rules):
+    """(lang, source, text) of each document -> whether the quality rules keep it."""
+    import math
+
+    import numpy as np
+
+    facts = [text_statistics(t) for _, _, t in rows]
+    x = np.array([[math.log(w + 1), math.log((c + 5) / (w + 1)), math.log(1 + 100 * s / (c + 1)), r / (w + 1), d / (d + 10)] for w, c, s, d, r in facts])
+    groups = [(a or "", b or "") for a, b, _ in rows]
+    size, tongue = Counter(groups), Counter(a for a, _ in groups)
+    pool = [(a if tongue[a] >= rules.LEAST else "*", b if size[a, b] >= rules.LEAST else "*") for a, b in groups]
+    out = [w >= 10 and 100 * r <= 20 * w for w, _, _, _, r in facts]
+    for name in set(pool):
+        inside = np.array([(name[0] in ("*", a)) and (name[1] in ("*", b)) for a, b in groups])
+        distance = np.zeros(len(rows))
+        distance[inside] = robust_distances(x[inside], rules)
+        for i, p in enumerate(pool):
+            out[i] = out[i] and (p != name or distance[i] <= rules.CUT)
+    return out

@@ -223,6 +223,32 @@ def test_outliers_are_rejected(spark, monkeypatch, groups):
     assert all(found[i] for i in range(300)) and not any(found[i] for i in range(300, 320))
 
 
+@pytest.mark.parametrize("groups", [20_000, 0])
+def test_rules_against_brute_force(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality_rules, "MOST_GROUPS", groups)
+    draw = random.Random(12)
+
+    def text():
+        kind = draw.random()
+        body = prose(draw, int(math.exp(draw.gauss(4.5, 0.8))) + 2)
+        if kind < 0.08:
+            body = body.replace(" ", draw.choice([" # ", " % ", " <b> "]), draw.randint(1, 30))
+        elif kind < 0.14:
+            body = "\n".join([body[:40]] * draw.randint(2, 12)) + "\n" + body
+        elif kind < 0.18:
+            body = body.replace(" ", "")
+        return body
+
+    rows = [(draw.choice(["en", "en", "en", "de"]), draw.choice(["a", "a", "b", None]), text()) for _ in range(500)]
+    rows += [("fr", "a", text()) for _ in range(20)] + [(None, None, t) for t in ("", None, "x")] + [rows[0]] * 2
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, source string, text string")
+    found = {r.doc_id: r.kept for r in quality_rules.judge(table.repartition(5)).collect()}
+    want = brute.quality_kept(rows, quality_rules)
+    assert [found[i] for i in range(len(rows))] == want and 10 < want.count(False) < 200
+    again = quality_rules.judge(table.coalesce(1)).collect()
+    assert {r.doc_id: r.kept for r in again} == found
+
+
 def test_classifier(spark, docs, rows, empty):
     draw = random.Random(3)
     texts = [(i, prose(draw, 60) if i % 2 else "junk### *** %%% " * 12 + str(i)) for i in range(200)]
