@@ -24,7 +24,9 @@ from lexloom.llm.staging import stage
 
 #: Bytes of text in a record batch that is handed on.
 HANDED = 4 << 20
-#: A line's place in a window, the window's lines and whether a copy is to go, in one number.
+#: Parts of a fingerprint's places.
+SALTS = 16
+#: A fingerprint's text, the first line of its reach, both hashes of the lines there, and its windows.
 PRINTS = "fingerprint bigint, print bigint, pos int, first array<bigint>, second array<bigint>, codes array<int>"
 
 
@@ -102,9 +104,12 @@ def fingerprint_rows(docs: DataFrame, window: int, words: int | None) -> DataFra
 def later_runs(docs: DataFrame, window: int, words: int | None) -> DataFrame:
     """(doc_id, print, runs) of the texts with a run that starts earlier elsewhere; a run is line * (window + 1) + lines."""
     prints = stage(fingerprint_rows(docs, window, words), "fingerprints")
-    again = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    # a common line is a common fingerprint, so each is dealt into SALTS parts by place
+    again = again.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", "print", "pos"), F.lit(SALTS)).cast("int"))
     code = F.explode("codes")
-    met = prints.join(again, "fingerprint").select("doc_id", "print", "pos", "first", "second", code.alias("code"))
+    met = salted.join(again, ["fingerprint", "salt"]).select("doc_id", "print", "pos", "first", "second", code.alias("code"))
     half = F.shiftright("code", 1)
     span, lead = half % (window + 1), F.floor(half / (window + 1)).cast("int")
     matches = met.select(
