@@ -319,16 +319,17 @@ def test_language_model(spark, docs, rows, empty):
     assert lm_score.score(empty, F.lit(False), RANKS).count() == 0
 
 
-def test_attention_gradient(monkeypatch):
+def test_attention_gradient():
     draw = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention.new_parameters().items()}
-    p["pair"] = draw.standard_normal(p["pair"].shape) * 0.1
+    p["pair"], p["logit"] = draw.standard_normal(p["pair"].shape) * 0.1, draw.standard_normal(p["logit"].shape) * 0.25
     inputs, target = draw.integers(0, 50, (2, 2 * attention.STEP)), draw.integers(0, 50, (2, attention.STEP))
     known, counted = np.ones((2, 2 * attention.STEP), bool), draw.random((2, attention.STEP)) < 0.9
     known[0, : attention.STEP] = False
     loss = lambda: attention.loss_and_gradient(p, inputs, known, target, counted)
     g = loss()[1]
-    for name in p:
+    assert set(g) == set(attention.SHAPES)
+    for name in g:
         where = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         old, step = p[name][where], 1e-4
         p[name][where] = old + step
@@ -339,22 +340,94 @@ def test_attention_gradient(monkeypatch):
         assert (up - down) / (2 * step) == pytest.approx(g[name][where], rel=0.02, abs=1e-5), name
 
 
+def learned(ids, n_ids, updates=300, opens=None):
+    first = np.array([0, len(ids)])
+    vocabulary = attention.Vocabulary(np.bincount(ids, minlength=n_ids), opens)
+    trainer = attention.Trainer(attention.new_parameters(attention.pair_logits(attention.pair_counts(ids, first, vocabulary))), vocabulary)
+    trainer.learn(ids, first, updates)
+    return vocabulary, trainer
+
+
 def test_attention_probabilities_add_up():
     ids = np.array([1, 2, 3, 4, 1, 2, 3, 9] * 30)
-    vocabulary, p, losses = attention.train(ids, np.array([0, len(ids)]), 600)
-    scorer = attention.Scorer(vocabulary, p)
-    total = sum(np.exp(scorer.logs(np.array([1, 2, last]), np.array([0, 3]))[2]) for last in range(600))
-    assert total == pytest.approx(1, abs=1e-3) and losses[-1] < losses[0]
+    vocabulary, trainer = learned(ids, 600)
+    scorer = attention.Scorer(vocabulary, trainer.p)
+    total = sum(np.exp(scorer.logs(np.array([1, 2, last]), np.array([0, 3]))[0][2]) for last in range(600))
+    assert total == pytest.approx(1, abs=1e-3) and trainer.losses[-1] < trainer.losses[0] * 0.8
 
 
 def test_context_tells_250_ids_apart():
     ids = np.tile(np.arange(1, 251), 20)
-    vocabulary, p, _ = attention.train(ids, np.array([0, len(ids)]), 600)
-    scorer = attention.Scorer(vocabulary, p)
-    last = lambda before: scorer.logs(np.array([before - 1, before, 250]), np.array([0, 3]))[2]
+    vocabulary, trainer = learned(ids, 600)
+    scorer = attention.Scorer(vocabulary, trainer.p)
+    last = lambda before: scorer.logs(np.array([before - 1, before, 250]), np.array([0, 3]))[0][2]
     assert last(249) > last(200) + np.log(10)
 
 
+def test_attention_reaches_past_the_last_token():
+    """What follows 7 depends on the token before it, which counted pairs can't tell."""
+    draw = np.random.default_rng(3)
+    ids = np.concatenate([[a, 7, 10 + a] for a in draw.integers(1, 5, 4000)])
+    vocabulary, trainer = learned(ids, 600, 600)
+    scorer = attention.Scorer(vocabulary, trainer.p)
+    sure = [np.exp(scorer.logs(np.array([a, 7, 10 + a]), np.array([0, 3]))[0][2]) for a in range(1, 5)]
+    assert min(sure) > 0.6
+
+
+def test_windowed_scores_against_plain_attention():
+    """Each token is scored once, by its own row and the row before it."""
+    draw = np.random.default_rng(4)
+    ids = draw.integers(0, 500, 150)
+    opens = (np.arange(600) % 3 == 0).astype(float)
+    vocabulary, trainer = learned(ids, 600, 50, opens)
+    p, step = trainer.p, attention.STEP
+    p["near"] = draw.standard_normal(2 * step).astype(np.float32)
+    first = np.array([0, 5, 5, 70, 150])
+    logs, opening = attention.Scorer(vocabulary, p).logs(ids, first)
+    for a, b in zip(first, first[1:]):
+        before = [attention.INPUTS + 1, *vocabulary.inputs[ids[a : b - 1]]] if b > a else []
+        x = p["embed"][before].astype(np.float64)
+        for t in range(b - a):
+            since = max(0, t // step * step - step)
+            score = (x[since : t + 1] @ p["key"]) @ (x[t] @ p["query"]) / attention.WIDTH**0.5 + p["near"][t - np.arange(since, t + 1)]
+            weight = np.exp(score - score.max())
+            hidden = x[t] + weight / weight.sum() @ (x[since : t + 1] @ p["value"]) @ p["out"]
+            power = np.exp(hidden @ p["logit"] + p["pair"][before[t]])
+            share = power / power.sum()
+            own = vocabulary.outputs[ids[a + t]]
+            assert logs[a + t] == pytest.approx(np.log(share[own]) + vocabulary.inside[ids[a + t]], abs=2e-3)
+            assert np.exp(opening[a + t]) == pytest.approx(share @ vocabulary.opening, abs=1e-3)
+
+
+def test_word_chances_add_up_to_one_at_most(spark, rows):
+    """Of all known words and the end after a context, and with the counted model's share of unknown ones."""
+    draw = random.Random(14)
+    names = byte_bpe.read_ranks(RANKS)
+    texts = [" ".join(draw.choice(["an", "another", "and", "a", "the", "there", "therefore", "it", "item", "its"]) for _ in range(draw.randint(1, 40))) for _ in range(300)]
+    cache, end = lm_score.subwords_of(RANKS, names), len(names)
+    opens, blocks = lm_score.opening_ids(names), []
+
+    def encoded(some):
+        for _, _, part, starts, ends, first in lm_score.lowered(*bytesets.flat(pa.array(some))):
+            yield lm_score.token_ids(part, starts, ends, first, cache, end)
+
+    for ids, edge in encoded(texts):
+        blocks += [(ids[a:b].astype("<u2").tobytes(),) for a, b in zip(edge, edge[1:])]
+    (vocabulary, p), n = lm_score.train(spark.createDataFrame(blocks, "ids binary").repartition(3), names, "<u2")
+    assert n == len(texts)
+    scorer = attention.Scorer(vocabulary, p)
+    known = sorted({w for t in texts for w in t.split()} | {f"{a}{b}" for a in ("an", "the", "it", "x", "zebra") for b in ("", "s", "ing", "q")})
+    for context in ("", "the ", "an and the "):
+        total = 0.0
+        for word in [*known, None]:
+            ids, edge = next(encoded([context + (word or "")]))
+            heads, closes, keys = lm_score.tokens_of(ids, opens, end)
+            assert len(heads) == len(keys) + 1 == len(context.split()) + (word is not None) + 1
+            chance = lm_score.word_logs(*scorer.logs(ids, edge), heads, closes)
+            total += np.exp(chance[len(context.split())])
+        assert 0.8 < total <= 1.001, (context, total)
+
+
 def test_line_runs(spark, docs, rows, empty):
     cut = line_dedup.remove_runs(docs)
     assert cut.columns == [*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed"]
