@@ -133,6 +133,48 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert sorted((r.n_shingles, r.kept) for r in again if r.doc_id is None)[0] == (0, True)
 
 
+def test_large_groups_are_searched_in_pieces(spark, monkeypatch):
+    """Copies that a long shared part brings into one bucket, in groups that their hub alone can't link."""
+    monkeypatch.setattr(minhash, "SMALL", 200)
+    monkeypatch.setattr(minhash, "STRIP", 300)
+    draw = random.Random(11)
+    shared, texts = prose(draw, 160).split(), []
+    for _ in range(12):  # families: alike inside, at 0.7 or so between
+        own = prose(draw, 30).split()
+        for _ in range(3):
+            words = [*shared, *own]
+            words[draw.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()}
+    assert found == brute.near_components(rows, 4, 80)
+
+
+def test_recall_of_near_duplicates(spark):
+    """Every link of the documents at sf0.01, against all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets, where = {i: brute.shingles(t, 5) for i, t in rows}, {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    both = brute.Counter((a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    links = [(a, b) for (a, b), n in both.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert len(links) > 100 and sum(found[a] == found[b] for a, b in links) >= 0.99 * len(links)
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    assert all(top(i) == top(c) for i, c in found.items())  # nothing is linked without a path of links
+
+
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_near_copies_under_null_and_repeated_ids(spark, monkeypatch, most):
     monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
