@@ -5,12 +5,13 @@ only starts whose minimum occurs twice in the corpus can repeat. Those are broug
 together by their minimum, as runs of neighbouring starts with the bytes they need.
 Runs with equal bytes settle at once. The rest are suffix sorted in each group: a
 mergesort whose comparisons find the common extension of two suffixes by binary
-search over prefix polynomial hashes modulo a prime; neighbours in the sorted order that
-share ``length`` bytes are repeats, and every such claim is verified on the bytes.
+search over prefix polynomial hashes; neighbours in the sorted order that share ``length``
+bytes are repeats. Neighbours are always compared by their bytes, so a collision of hashes
+can neither make a repeat nor hide one.
 
 A minimum that occurs over HOT times would bring a group that grows with the corpus, so its
 starts are dealt by hashes of their own strings. Equal ones are verified on the bytes within
-a chunk; between chunks two 61-bit hashes under different bases decide (a chance of about
+a chunk; between chunks two hashes modulo 2**61 - 1 under different bases decide (a chance of about
 (length / 2**61)**2 for each pair of different strings).
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexloom.llm.bytesets import P61, Prefix, blocks, expand, reduced, times
+from lexloom.llm.bytesets import Prefix, Rolling, blocks, expand
 from lexloom.llm.staging import parts_for
 from lexloom.llm.windows import NONE, Chunk, blob_rows, chosen, deal, joined, minima, split_by
 
@@ -55,32 +56,41 @@ def unique_counts(values: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np
     return order, heads, np.diff(np.append(heads, len(order)))
 
 
-def common(hashes: Prefix, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+def common(hashes: Rolling, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Length of the common extension of the suffixes at a and b, up to ``limit``: binary search over hashes."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
-    sums = hashes.sums
-    # hashes of the earlier suffix are moved up to the later one's place: one product a comparison
-    front, back = np.minimum(a, b), np.maximum(a, b)
-    base_front, base_back, shift = P61 - sums[front], P61 - sums[back], hashes.up[back - front]
+    sums, down = hashes.sums, hashes.down
+    base_a, base_b, down_a, down_b = sums[a], sums[b], down[a], down[b]
     while True:
         middle = (low + high + 1) >> 1
-        same = times(reduced(sums[front + middle] + base_front), shift) == reduced(sums[back + middle] + base_back)
+        same = (sums[a + middle] - base_a) * down_a == (sums[b + middle] - base_b) * down_b
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         if not (low < high).any():
             return low
 
 
 class SuffixSort:
-    """Sorts the suffixes at ``at`` of ``data`` inside each segment, as far as ``length`` bytes."""
+    """Sorts the suffixes at ``at`` of ``data`` inside each segment, as far as ``length`` bytes.
+
+    The hashes may collide on structured strings, so neighbours of the sorted order are compared
+    byte by byte; a segment where one of them stands wrong is sorted again by its bytes.
+    """
 
     def __init__(self, data: np.ndarray, at: np.ndarray, segment: np.ndarray, length: int):
         self.data, self.at, self.length = data, at, length
-        self.hashes = Prefix(data, 0)
+        self.hashes = Rolling(data, 0)
         lead = np.zeros(len(at), np.uint64)
         for k in range(8):
             lead = lead << np.uint64(8) | data[at + k].astype(np.uint64)
         self.lead = lead
         self.order = self._sort(segment)
+        self.shared, wrong = self._neighbours(segment)
+        if wrong.any():
+            for k in np.unique(segment[self.order[:-1][wrong]]):
+                inside = np.flatnonzero(segment[self.order] == k)
+                suffix = lambda i: data[at[i] : at[i] + length].tobytes()
+                self.order[inside] = sorted(self.order[inside].tolist(), key=suffix)
+            self.shared, _ = self._neighbours(segment)
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether suffix i sorts before suffix j; both share their leading bytes."""
@@ -133,18 +143,27 @@ class SuffixSort:
         order[ties] = sub
         return order
 
+    def _neighbours(self, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the first ``length`` bytes are shared, whether the two stand wrong) of each suffix and the next, by their bytes."""
+        shared, wrong = np.zeros(max(0, len(self.order) - 1), bool), np.zeros(max(0, len(self.order) - 1), bool)
+        near = np.flatnonzero(segment[self.order[:-1]] == segment[self.order[1:]])
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, self.length) if len(self.data) >= self.length else self.data.reshape(0, 1)
+        for k in range(0, len(near), 4096):
+            part = near[k : k + 4096]
+            a, b = rows[self.at[self.order[part]]], rows[self.at[self.order[part + 1]]]
+            differ = a != b
+            place = differ.argmax(1)
+            line = np.arange(len(part))
+            same = ~differ[line, place]
+            shared[part] = same
+            wrong[part] = ~same & (a[line, place] > b[line, place])
+        return shared, wrong
+
     def repeats(self, segment: np.ndarray) -> np.ndarray:
         """Mask of the suffixes whose first ``length`` bytes another suffix of the segment also has."""
         out = np.zeros(len(self.at), bool)
-        a, b = self.order[:-1], self.order[1:]
-        same = np.flatnonzero(segment[a] == segment[b])
-        same = same[common(self.hashes, self.at[a[same]], self.at[b[same]], self.length) == self.length]
-        span = np.arange(self.length)
-        for k in range(0, len(same), 4096):  # verified on the bytes
-            part = same[k : k + 4096]
-            equal = (self.data[self.at[a[part]][:, None] + span] == self.data[self.at[b[part]][:, None] + span]).all(1)
-            out[a[part[equal]]] = True
-            out[b[part[equal]]] = True
+        out[self.order[:-1][self.shared]] = True
+        out[self.order[1:][self.shared]] = True
         return out
 
 
@@ -181,7 +200,7 @@ def settle(data: np.ndarray, keys: np.ndarray, offset: np.ndarray, n: np.ndarray
     for row, end in blocks(borders):
         part = data[borders[row] : borders[end]]
         for salt in range(2):
-            prints[salt][row:end] = Prefix(part, salt).ranges(offset[row:end] - borders[row], offset[row:end] - borders[row] + sizes[row:end])
+            prints[salt][row:end] = Rolling(part, salt).ranges(offset[row:end] - borders[row], offset[row:end] - borders[row] + sizes[row:end])
     order, heads, counts = unique_counts(keys, n, *prints)
     a = np.delete(np.arange(len(order)), heads) if len(order) else order
     if len(a):
@@ -280,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", text
             k = np.flatnonzero(member(own, known))
             heads, sizes = heads[k], sizes[k]
             for column, salt in ((p1, 0), (p2, 1)):
-                column.append(Prefix(part, salt).ranges(heads, heads + sizes + length - 1))
+                column.append(Rolling(part, salt).ranges(heads, heads + sizes + length - 1))
             keys.append(own[k])
             at.append(heads + base)
             n.append(sizes)

@@ -73,6 +73,20 @@ def test_suffix_sort():
     assert [text[i : i + 9] for i in at[order]] == sorted(text[i : i + 9] for i in at)
 
 
+def test_suffix_sort_survives_collisions(monkeypatch):
+    """With hashes that are all equal the order comes from the bytes."""
+    draw = np.random.default_rng(2)
+    data = np.concatenate([np.tile(draw.integers(97, 99, 50), 3), draw.integers(97, 99, 300), np.zeros(8)]).astype(np.uint8)
+    at, segment = np.arange(400), np.arange(400) // 250
+    want = suffix_dedup.SuffixSort(data, at, segment, 20)
+    monkeypatch.setattr(suffix_dedup, "common", lambda hashes, a, b, limit: np.full(len(a), limit))
+    got = suffix_dedup.SuffixSort(data, at, segment, 20)
+    assert (got.repeats(segment) == want.repeats(segment)).all() and want.repeats(segment).any()
+    text = data.tobytes()
+    for k in (0, 1):
+        assert [text[i : i + 20] for i in got.order if segment[i] == k] == sorted(text[i : i + 20] for i in at if segment[i] == k)
+
+
 @pytest.mark.parametrize("many", [64, 0])
 def test_word_repeats(spark, docs, rows, empty, monkeypatch, many):
     monkeypatch.setattr(substring_dedup, "MANY", many)
