@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import textops as T
-from lexloom.operators import bpe, dataset, gpt, pretrained, tensor, unigram
+from lexloom.operators import bpe, dataset, gpt, pretrained, tensor, unigram, vocab_store
+from lexloom.plans.cut import shared_dir
 from lexloom.sources import corpus
 
 QUERIES: dict = {}
@@ -50,11 +53,11 @@ def word_ctes(source: str, key: str, mode: str = "word") -> str:
     return f"""
 each AS MATERIALIZED (SELECT {key} AS doc, unnest({split}) AS word, generate_subscripts({split}, 1) - 1 AS pos FROM {source}),
 counts AS MATERIALIZED (SELECT word, count(*) AS cnt, min(struct_pack(doc := doc, pos := pos)) AS f FROM each GROUP BY word),
-w0 AS MATERIALIZED (SELECT word, cnt, f.doc AS doc, f.pos AS pos, chr(2) || array_to_string(list_append({symbols}, '<|w|>'), chr(3) || chr(2)) || chr(3) AS s FROM counts)"""
+w0 AS MATERIALIZED (SELECT word, cnt, f.doc AS doc, f.pos AS pos, chr(57344) || array_to_string(list_append({symbols}, '<|w|>'), chr(57345) || chr(57344)) || chr(57345) AS s FROM counts)"""
 
 
 def tokens_of(s: str) -> str:
-    return f"list_filter(string_split(replace({s}, chr(2), ''), chr(3)), lambda t: t <> '')"
+    return f"list_filter(string_split(replace({s}, chr(57344), ''), chr(57345)), lambda t: t <> '')"
 
 
 def pair_cte(state: str) -> str:
@@ -68,7 +71,7 @@ def trained_ctes(source: str, key: str, n: int, mode: str = "word") -> str:
     for i in range(1, n + 1):
         out += f""",
 b{i} AS MATERIALIZED (SELECT l, r, freq FROM ({pair_cte(f"w{i - 1}")}) ORDER BY freq DESC, f.doc, f.pos, f.place LIMIT 1),
-w{i} AS MATERIALIZED (SELECT word, cnt, doc, pos, CASE WHEN freq >= 2 THEN replace(s, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || l || r || chr(3)) ELSE s END AS s FROM w{i - 1}, b{i})"""
+w{i} AS MATERIALIZED (SELECT word, cnt, doc, pos, CASE WHEN freq >= 2 THEN replace(s, chr(57344) || l || chr(57345) || chr(57344) || r || chr(57345), chr(57344) || l || r || chr(57345)) ELSE s END AS s FROM w{i - 1}, b{i})"""
     return out
 
 
@@ -340,9 +343,14 @@ def softmax_rows(spark, sf_dir):
 ERF = "1 - (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))) * exp(-z * z)"
 
 
-@query(f"SELECT vec_id, round(x * 0.5 * (1 + sign(x) * ({ERF})), 5) AS y FROM (SELECT vec_id, x, z, 1 / (1 + 0.3275911 * z) AS t FROM (SELECT vec_id, x, abs(x) / sqrt(2.0) AS z FROM (SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings)))")
+def gelu_sql(x: str) -> str:
+    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2.0)))"
+    return f"{x} * 0.5 * (1 + sign({x}) * (1 - ({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))) * exp(-{x} * {x} / 2)))"
+
+
+@query(f"SELECT vec_id, list_transform(v, lambda x: round({gelu_sql('x')}, 5) + 0.0) AS y FROM (SELECT vec_id, {VEC} AS v FROM embeddings)")
 def gelu(spark, sf_dir):
-    return _vectors(spark, sf_dir).select("vec_id", F.round(tensor.gelu(F.get("v", F.lit(0))), 5).alias("y"))
+    return _vectors(spark, sf_dir).select("vec_id", F.transform("v", lambda x: F.round(tensor.gelu(x), 5) + F.lit(0.0)).alias("y"))
 
 
 @query("SELECT vec_id, h::INT AS head, list_transform(embedding[(h * 16 + 1):(h * 16 + 16)], lambda x: x::DOUBLE) AS v FROM embeddings, range(4) t(h)")
@@ -377,11 +385,12 @@ def grad_clip(spark, sf_dir):
     return _vectors(spark, sf_dir).withColumn("k", tensor.clip_scale(norm, 1.0)).select("vec_id", F.transform("v", lambda x: F.round(x * F.col("k"), 5)).alias("g"))
 
 
-@query("""SELECT vec_id, round(p * (1 - 3e-4 * 0.1) - 3e-4 * ((0.1 * g) / (1 - 0.9)) / (sqrt((0.05 * g * g) / (1 - 0.95)) + 1e-8), 6) AS p
-FROM (SELECT vec_id, embedding[1]::DOUBLE AS p, embedding[2]::DOUBLE AS g FROM embeddings)""")
+@query(f"""SELECT vec_id, list_transform(range(1, 65), lambda i: round(v[i] * (1 - 3e-4 * 0.1) - 3e-4 * ((0.1 * v[i % 64 + 1]) / (1 - 0.9)) / (sqrt((0.05 * v[i % 64 + 1] * v[i % 64 + 1]) / (1 - 0.95)) + 1e-8), 6)) AS p
+FROM (SELECT vec_id, {VEC} AS v FROM embeddings)""")
 def adamw_step(spark, sf_dir):
     zero = F.lit(0.0)
-    return _vectors(spark, sf_dir).select("vec_id", F.round(tensor.adamw(F.get("v", F.lit(0)), F.get("v", F.lit(1)), zero, zero, 1).getField("p"), 6).alias("p"))
+    gradient = F.concat(F.slice("v", 2, F.size("v") - 1), F.slice("v", 1, 1))
+    return _vectors(spark, sf_dir).select("vec_id", F.zip_with("v", gradient, lambda p, g: F.round(tensor.adamw(p, g, zero, zero, 1).getField("p"), 6)).alias("p"))
 
 
 @query(f"SELECT vec_id, list_transform(list_zip(v, range(0, 64)), lambda z: round(z[1] + sin((vec_id % 32) * (z[2] + 1) / 64.0::DOUBLE), 5)) AS y FROM (SELECT vec_id, {VEC} AS v FROM embeddings)")
@@ -391,11 +400,11 @@ def positional_add(spark, sf_dir):
     return tensor.add_positions(rows, places).select("vec_id", _round("v").alias("y"))
 
 
-@query(f"SELECT item_id AS doc, place, round(e.embedding[1]::DOUBLE, 5) AS y FROM (SELECT item_id, generate_subscripts({PLAIN}, 1) - 1 AS place, length(unnest({PLAIN})) AS id FROM benchmark) JOIN embeddings e ON e.vec_id = id")
+@query(f"SELECT item_id AS doc, place, list_transform(e.embedding, lambda x: round(x::DOUBLE, 5)) AS y FROM (SELECT item_id, generate_subscripts({PLAIN}, 1) - 1 AS place, length(unnest({PLAIN})) AS id FROM benchmark) JOIN embeddings e ON e.vec_id = id")
 def embedding_lookup(spark, sf_dir):
     ids = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.transform(T.split_words(F.col("text")), lambda w: F.length(w).cast("long")).alias("ids"))
     found = tensor.embed(ids, _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), "v"))
-    return found.select("doc", F.col("place").cast("long").alias("place"), F.round(F.get("v", F.lit(0)), 5).alias("y"))
+    return found.select("doc", F.col("place").cast("long").alias("place"), _round("v").alias("y"))
 
 
 @query(f"""WITH up AS (SELECT vec_id, i, list_sum(list_transform(range(1, 65), lambda j: v[j] * (((i * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE))) AS x FROM (SELECT vec_id, {VEC} AS v FROM embeddings), range(1, 9) t(i)),
@@ -415,6 +424,72 @@ def multinomial_given_u(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", tensor.draw(tensor.softmax(F.col("v")), u).alias("drawn"))
 
 
+def _sql_weight(a: int, b: int, m: int, scale: float, i: str, j: str) -> str:
+    return f"((({i}) * {a} + ({j}) * {b}) % {m} - {m // 2}) / {scale}::DOUBLE"
+
+
+#: Test weights: of output i and input j, by a rule (factors, modulus, scale) that Spark and SQL both work out.
+MAPS = {"q": (7, 3, 11, 60.0), "k": (5, 2, 13, 60.0), "v": (3, 7, 11, 40.0), "o": (2, 9, 13, 50.0), "up": (4, 5, 11, 30.0), "down": (9, 4, 7, 30.0)}
+
+
+def _block_weights(wide: int = 64, hidden: int = 32) -> dict[str, list]:
+    out = {}
+    for name, (a, b, m, scale) in MAPS.items():
+        rows, columns = (hidden, wide) if name == "up" else (wide, hidden) if name == "down" else (wide, wide)
+        out[f"{name}.w"] = [[((i * a + j * b) % m - m // 2) / scale for j in range(1, columns + 1)] for i in range(1, rows + 1)]
+        out[f"{name}.b"] = [(i % 5 - 2) / 10.0 for i in range(1, rows + 1)]
+    for name in ("ln1", "ln2"):
+        out[f"{name}.g"], out[f"{name}.b"] = [1 + (i % 3) / 10.0 for i in range(1, wide + 1)], [(i % 4 - 1) / 20.0 for i in range(1, wide + 1)]
+    return out
+
+
+def _linear_sql(name: str, x: str, rows: int = 64, columns: int = 64) -> str:
+    return f"list_transform(range(1, {rows + 1}), lambda i: list_sum(list_transform(range(1, {columns + 1}), lambda j: {x}[j] * {_sql_weight(*MAPS[name], 'i', 'j')})) + (i % 5 - 2) / 10.0::DOUBLE)"
+
+
+def _norm_sql(x: str) -> str:
+    m, q = f"(list_sum({x}) / 64)", f"(list_sum(list_transform({x}, lambda u: u * u)) / 64)"
+    return f"list_transform(range(1, 65), lambda i: ({x}[i] - {m}) / sqrt({q} - {m} * {m} + 1e-5) * (1 + (i % 3) / 10.0::DOUBLE) + (i % 4 - 1) / 20.0::DOUBLE)"
+
+
+def _attention_ctes(source: str, x: str) -> str:
+    """mixed: (seq, pos, y), four heads of 16 over ``x`` of the table ``source`` (seq, pos, x)."""
+    return f"""
+qkv AS MATERIALIZED (SELECT seq, pos, {_linear_sql('q', x)} AS q, {_linear_sql('k', x)} AS k, {_linear_sql('v', x)} AS v FROM {source}),
+heads AS MATERIALIZED (SELECT seq, pos, h, q[(h * 16 + 1):(h * 16 + 16)] AS q, k[(h * 16 + 1):(h * 16 + 16)] AS k, v[(h * 16 + 1):(h * 16 + 16)] AS v FROM qkv, range(4) t(h)),
+scores AS (SELECT a.seq, a.pos, a.h, b.pos AS kpos, b.v, list_sum(list_transform(range(1, 17), lambda j: a.q[j] * b.k[j])) / 4.0 AS s FROM heads a JOIN heads b ON a.seq = b.seq AND a.h = b.h AND b.pos <= a.pos),
+powers AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq, pos, h)) AS e FROM scores),
+shares AS (SELECT *, e / sum(e) OVER (PARTITION BY seq, pos, h) AS w FROM powers),
+sums AS (SELECT seq, pos, h, j, sum(w * v[j]) AS y FROM shares, range(1, 17) t(j) GROUP BY seq, pos, h, j),
+flat_heads AS (SELECT seq, pos, list(y ORDER BY h, j) AS x FROM sums GROUP BY seq, pos),
+mixed AS MATERIALIZED (SELECT seq, pos, {_linear_sql('o', 'x')} AS y FROM flat_heads)"""
+
+
+SEQUENCES = f"r AS MATERIALIZED (SELECT vec_id // 32 AS seq, vec_id % 32 AS pos, {VEC} AS x FROM embeddings)"
+
+
+def _sequences(spark, sf_dir):
+    return _vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 32).alias("seq"), (F.col("vec_id") % 32).alias("pos"), F.col("v").alias("x"))
+
+
+@query(f"WITH {SEQUENCES}, {_attention_ctes('r', 'x')} SELECT seq, pos, list_transform(y, lambda v: round(v, 4) + 0.0) AS y FROM mixed")
+def multi_head_attention(spark, sf_dir):
+    done = tensor.multi_head_attention(_sequences(spark, sf_dir), _block_weights(), 4)
+    return done.select("seq", "pos", F.transform("out", lambda v: F.round(v, 4) + F.lit(0.0)).alias("y"))
+
+
+@query(f"""WITH {SEQUENCES}, n1 AS MATERIALIZED (SELECT seq, pos, {_norm_sql('x')} AS z FROM r), {_attention_ctes('n1', 'z')},
+middle AS MATERIALIZED (SELECT r.seq, r.pos, list_transform(range(1, 65), lambda i: r.x[i] + mixed.y[i]) AS x FROM r JOIN mixed ON r.seq = mixed.seq AND r.pos = mixed.pos),
+n2 AS MATERIALIZED (SELECT seq, pos, x, {_norm_sql('x')} AS z FROM middle),
+up AS MATERIALIZED (SELECT seq, pos, x, {_linear_sql('up', 'z', 32)} AS u FROM n2),
+act AS MATERIALIZED (SELECT seq, pos, x, list_transform(u, lambda g: {gelu_sql('g')}) AS u FROM up),
+down AS MATERIALIZED (SELECT seq, pos, x, {_linear_sql('down', 'u', 64, 32)} AS d FROM act)
+SELECT seq, pos, list_transform(range(1, 65), lambda i: round(x[i] + d[i], 4) + 0.0) AS y FROM down""")
+def transformer_block(spark, sf_dir):
+    done = tensor.transformer_block(_sequences(spark, sf_dir), _block_weights(), 4)
+    return done.select("seq", "pos", F.transform("out", lambda v: F.round(v, 4) + F.lit(0.0)).alias("y"))
+
+
 # -- more of tokenizers and data sets ---------------------------------------------------------------
 @query(f"SELECT doc_id, {PLAIN} AS words FROM documents")
 def split_words(spark, sf_dir):
@@ -439,6 +514,46 @@ def vocab_size(spark, sf_dir):
     return trained(spark, sf_dir, "benchmark", 20, key="item_id")[0].vocabulary().agg(F.count("*").alias("vocab_size"))
 
 
+@query(f"WITH {trained_ctes('benchmark', 'item_id', 10, 'byte')} SELECT e.doc, e.pos::INT AS pos, e.word, {tokens_of('w.s')} AS tokens FROM each e JOIN w10 w USING (word)")
+def tokenize_byte_bpe(spark, sf_dir):
+    model, docs = trained(spark, sf_dir, "benchmark", mode="byte", key="item_id")
+    return model.tokenize(docs, "item_id")
+
+
+@query(f"WITH {trained_ctes('documents', 'doc_id', 5, 'byte')}, {vocab_ctes(5, 'byte')}, {ENCODED.format(n=5)} SELECT doc, list(id ORDER BY pos, place) AS ids FROM coded GROUP BY doc")
+def encode_byte_docs(spark, sf_dir):
+    model, docs = trained(spark, sf_dir, n=5, mode="byte")
+    return model.encode(docs, model.vocabulary())
+
+
+@query(f"WITH {trained_ctes('benchmark', 'item_id', 10)}, {vocab_ctes(10)}, {ENCODED.format(n=10)} SELECT (row_number() OVER (ORDER BY doc, pos, place) - 1)::BIGINT AS pos, id FROM coded")
+def encoded_stream(spark, sf_dir):
+    model, docs = trained(spark, sf_dir, "benchmark", key="item_id")
+    return dataset.token_stream(model.encode(docs, model.vocabulary(), "item_id"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY doc_id, place) - 1)::BIGINT AS pos, id FROM (SELECT doc_id, generate_subscripts(w, 1) AS place, length(unnest(w)) AS id FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS w FROM documents))")
+def document_stream(spark, sf_dir):
+    ids = F.transform(T.split_words(F.col("text")), lambda w: F.length(w).cast("long"))
+    return dataset.token_stream(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), ids.alias("ids")))
+
+
+@query(f"SELECT token, id FROM (WITH {trained_ctes('benchmark', 'item_id', 10)}, {vocab_ctes(10)} SELECT token, id FROM vocab)")
+def vocab_json_round_trip(spark, sf_dir):
+    model, _ = trained(spark, sf_dir, "benchmark", key="item_id")
+    path = f"{shared_dir(spark)}/lexloom/vocab-{uuid.uuid4().hex}.json"
+    vocab_store.save_json(model.vocabulary(), path)
+    return vocab_store.load_json(spark, path)
+
+
+@query("SELECT (row_number() OVER (ORDER BY item_id) - 1)::BIGINT AS doc_id, text || chr(10) AS text FROM benchmark")
+def read_folder(spark, sf_dir):
+    """The benchmark's items written as text files, one each, and read back in the order of their paths."""
+    path = f"{shared_dir(spark)}/lexloom/texts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "benchmark").coalesce(1).sortWithinPartitions("item_id").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return corpus.read_texts(spark, path).select("doc_id", "text")
+
+
 @query()
 def train_word_bpe_2000(spark, sf_dir):
     return trained(spark, sf_dir, n=2000)[0].merge_table(spark)

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators import bpe, dataset, gpt, pretrained
+from lexloom.operators import dataset, gpt, pretrained, tokenizer
 from lexloom.plans.cut import cut
 from lexloom.sources import corpus
 
@@ -66,30 +66,11 @@ def logger() -> logging.Logger:
     return log
 
 
-class Coder:
-    """Texts to ids and back, over a trained BPE or a pre-trained file."""
-
-    def __init__(self, spark: SparkSession, kind: str, docs: DataFrame, merges: int = 2000, min_freq: int = 2, file: str = ""):
-        self.spark, self.kind = spark, kind
-        if kind == "pretrained":
-            self.model = pretrained.Pretrained(spark, pretrained.resolve(file, os.environ.get("LEXLOOM_MODELS", "models")))
-            self.size = self.model.vocab_size()
-        else:
-            self.model = bpe.Bpe(kind, num_merges=merges, min_freq=min_freq).train(docs)
-            self.vocabulary = cut(self.model.vocabulary())
-            self.size = self.vocabulary.count()
-
-    def encode(self, docs: DataFrame) -> DataFrame:
-        """(doc, ids)"""
-        if self.kind == "pretrained":
-            return docs.select(F.col("doc_id").alias("doc"), self.model.encode(F.col("text")).alias("ids"))
-        return self.model.encode(docs, self.vocabulary)
-
-    def decode(self, ids: DataFrame) -> DataFrame:
-        """(doc, text)"""
-        if self.kind == "pretrained":
-            return ids.select("doc", self.model.decode(F.col("ids")).alias("text"))
-        return bpe.decode(ids, self.vocabulary).select("doc", bpe.detokenize(F.col("tokens"), self.kind).alias("text"))
+def tokenizer_of(spark: SparkSession, o: argparse.Namespace) -> tokenizer.Tokenizer:
+    """The tokenizer that the settings name; a pre-trained one is a file, or a model below LEXLOOM_MODELS."""
+    if o.tokenizer == "pretrained":
+        return tokenizer.PretrainedTokenizer(spark, pretrained.resolve(o.tokenizer_file, os.environ.get("LEXLOOM_MODELS", "models")), logger())
+    return tokenizer.BpeTokenizer(spark, o.tokenizer, o.merges, o.min_freq, logger())
 
 
 def plot(losses: list[float], height: int = 12, width: int = 70) -> str:
@@ -109,11 +90,12 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[gpt.Trainer, str]:
     log, docs = logger(), cut(corpus.read_texts(spark, o.data))
     if docs.where(F.length(F.trim("text")) > 0).isEmpty():
         raise ValueError(f"no text under {o.data}")
-    coder = Coder(spark, o.tokenizer, docs, o.merges, o.min_freq, o.tokenizer_file)
+    coder = tokenizer_of(spark, o)
+    dataset.ensure_trained(coder, docs)
     stream = cut(dataset.token_stream(coder.encode(docs)))
-    tokens = stream.count()
-    log.info("%d tokens, %d in the vocabulary", tokens, coder.size)
-    model = gpt.Gpt(gpt.Config(coder.size, o.block_size, o.layers, o.heads, o.embed, o.dropout))
+    tokens, size = stream.count(), coder.vocab_size()
+    log.info("%d tokens, %d in the vocabulary", tokens, size)
+    model = gpt.Gpt(gpt.Config(size, o.block_size, o.layers, o.heads, o.embed, o.dropout))
     trainer = gpt.Trainer(model, gpt.Training(o.batch, o.lr, o.weight_decay, o.iters, o.log_interval, o.grad_clip, o.seed)).train(stream, tokens)
     prompt = coder.encode(spark.createDataFrame([(0, o.prompt)], "doc_id bigint, text string"))
     text = coder.decode(model.generate(prompt, o.new_tokens, seed=o.seed)).first()

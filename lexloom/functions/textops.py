@@ -15,8 +15,9 @@ EOW, UNK = "<|w|>", "<|unk|>"
 WORD = r"([^ \t\n\r\f\x0B]+)"
 #: Fixed value: scripts whose characters stand alone.
 CJK = r"\p{IsHan}\p{IsKatakana}\p{IsHiragana}\p{IsHangul}"
-#: Marks around a token inside a string of tokens; texts must not hold them.
-OPEN, CLOSE = "\x02", "\x03"
+#: Marks around a token inside a string of tokens, and what stands for them and for the escape in a text.
+ESCAPE, OPEN, CLOSE = "\x01", "\x02", "\x03"
+ESCAPES = ((ESCAPE, ESCAPE + "a"), (OPEN, ESCAPE + "b"), (CLOSE, ESCAPE + "c"))
 
 
 def isolate_cjk(text: Column) -> Column:
@@ -35,14 +36,43 @@ def join_cjk(text: Column) -> Column:
     return F.regexp_replace(before, rf"([{CJK}])\s+", "$1")
 
 
+def escaped(token: str) -> str:
+    """A token in which the marks can't occur; escaping character by character or all at once is the same."""
+    for plain_, safe in ESCAPES:
+        token = token.replace(plain_, safe)
+    return token
+
+
+def plain(token: str) -> str:
+    """The token that was escaped."""
+    for plain_, safe in reversed(ESCAPES):
+        token = token.replace(safe, plain_)
+    return token
+
+
+def escape(token: Column) -> Column:
+    for plain_, safe in ESCAPES:
+        token = F.replace(token, F.lit(plain_), F.lit(safe))
+    return token
+
+
+def unescape(token: Column) -> Column:
+    for plain_, safe in reversed(ESCAPES):
+        token = F.replace(token, F.lit(safe), F.lit(plain_))
+    return token
+
+
 def wrap(tokens: Column) -> Column:
     """An array of tokens as one string in which literal replacement merges pairs."""
-    return F.concat(F.lit(OPEN), F.array_join(tokens, CLOSE + OPEN), F.lit(CLOSE))
+    marked = F.array_join(tokens, "").rlike("[\x01-\x03]")
+    safe = F.when(marked, F.transform(tokens, escape)).otherwise(tokens)
+    return F.concat(F.lit(OPEN), F.array_join(safe, CLOSE + OPEN), F.lit(CLOSE))
 
 
 def unwrap(tokens: Column) -> Column:
     """The array again."""
-    return F.filter(F.split(F.translate(tokens, OPEN, ""), CLOSE), lambda t: t != "")
+    safe = F.filter(F.split(F.translate(tokens, OPEN, ""), CLOSE), lambda t: t != "")
+    return F.when(F.contains(tokens, F.lit(ESCAPE)), F.transform(safe, unescape)).otherwise(safe)
 
 
 def characters(word: Column) -> Column:

@@ -46,7 +46,7 @@ def pair_stats(state: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.col("k").alias("l"), F.slice("k", F.lit(2), F.size("k")).alias("r"))
     each = tokens.select("cnt", "doc", "pos", F.posexplode(pairs).alias("place", "p")).where("p.r <> ''")
     counted = each.groupBy("p.l", "p.r").agg(F.sum("cnt").alias("freq"), F.min(F.struct("doc", "pos", "place")).alias("first"))
-    return counted.select("l", "r", "freq", "first.doc", "first.pos", "first.place")
+    return counted.select(T.unescape(F.col("l")).alias("l"), T.unescape(F.col("r")).alias("r"), "freq", "first.doc", "first.pos", "first.place")
 
 
 def best_pair(state: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def best_pair(state: DataFrame) -> DataFrame:
 
 def merged(s: Column, left: str, right: str) -> Column:
     """Every leftmost pair of the wrapped tokens merged."""
-    wrap = lambda t: f"{T.OPEN}{t}{T.CLOSE}"
+    wrap = lambda t: f"{T.OPEN}{T.escaped(t)}{T.CLOSE}"
     return F.replace(s, F.lit(wrap(left) + wrap(right)), F.lit(wrap(left + right)))
 
 
@@ -101,7 +101,7 @@ class Bpe:
     def _learn_here(self, start: DataFrame, rounds: int):
         table = start.select("doc", "pos", "s", "cnt").toPandas().sort_values(["doc", "pos"])  # local_words rows at most
         words = ((s[1:-1].split(T.CLOSE + T.OPEN), int(n)) for s, n in zip(table["s"], table["cnt"]))
-        found = merge_loop.learn(words, rounds, self.min_freq)
+        found = [((T.plain(left), T.plain(right)), n) for (left, right), n in merge_loop.learn(words, rounds, self.min_freq)]
         return found, start.withColumn("s", apply_merges(F.col("s"), [pair for pair, _ in found]))
 
     def _learn_there(self, state: DataFrame, rounds: int):
@@ -149,7 +149,8 @@ class Bpe:
         A text without words has no row, as when its tokens are packed.
         """
         body = T.isolate_cjk(F.col(text)) if self.mode == "word" else F.col(text)
-        split = spread(docs.select(key, text)).select(F.col(key).alias("doc"), T.split_words(body).alias("words")).where(F.size("words") > 0)
+        given = docs.select(key, text)
+        split = (given if docs.isStreaming else spread(given)).select(F.col(key).alias("doc"), T.split_words(body).alias("words")).where(F.size("words") > 0)
         known = {r.token: r.id for r in vocabulary.select("token", "id").collect()}
         return split.select("doc", merge_loop.encoder(self.merges, known, self.mode)(F.col("words")).alias("ids"))
 
@@ -181,7 +182,7 @@ def decode(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def detokenize(tokens: Column, mode: str = "word") -> Column:
     """Text of tokens: only a token that equals end-of-word ends a word."""
     pieces = F.split(T.wrap(tokens), F.lit(f"{T.OPEN}<\\|w\\|>{T.CLOSE}"))
-    words_ = F.filter(F.transform(pieces, lambda p: F.translate(p, T.OPEN + T.CLOSE, "")), lambda w: w != "")
+    words_ = F.filter(F.transform(pieces, lambda p: T.unescape(F.translate(p, T.OPEN + T.CLOSE, ""))), lambda w: w != "")
     if mode == "byte":
         spell = lambda w: F.unhex(F.replace(w, F.lit(T.EOW), F.lit("3C7C777C3E"))).cast("string")
         return F.array_join(F.transform(words_, spell), " ")

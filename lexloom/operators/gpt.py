@@ -51,6 +51,42 @@ class Training:
     seed: int = 1337
 
 
+class Settings:
+    """All settings by name, deeply merged over the defaults: Settings({"model": {"n_layer": 2}}).
+
+    An unknown name is kept as it is given; ``config`` and ``schedule`` read the known ones.
+    """
+
+    def __init__(self, overrides: dict | None = None):
+        self.options = merged({"model": asdict(Config()), "training": asdict(Training())}, overrides or {})
+
+    def __getitem__(self, key: str):
+        return self.options[str(key)]
+
+    @property
+    def model(self) -> dict:
+        return self.options["model"]
+
+    @property
+    def training(self) -> dict:
+        return self.options["training"]
+
+    def config(self) -> Config:
+        return Config(**{k: v for k, v in self.model.items() if k in Config.__dataclass_fields__})
+
+    def schedule(self) -> Training:
+        return Training(**{k: v for k, v in self.training.items() if k in Training.__dataclass_fields__})
+
+
+def merged(base: dict, over: dict) -> dict:
+    """``over`` laid over ``base``, dictionaries inside one another too; keys become strings."""
+    out = dict(base)
+    for key, value in over.items():
+        key = str(key)
+        out[key] = merged(out.get(key) if isinstance(out.get(key), dict) else {}, value) if isinstance(value, dict) else value
+    return out
+
+
 def init(config: Config, seed: int = 1337) -> Weights:
     """Normal embeddings, uniform linear maps of width 1/sqrt(inputs), norms of one and zero."""
     rng, d = np.random.RandomState(seed), config.n_embd

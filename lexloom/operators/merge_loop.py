@@ -169,7 +169,7 @@ def encoder(rounds: list[Pair], ids: dict[str, int], mode: str):
 
 def merged_by(s: Column, rounds: list[Pair]) -> Column:
     """A long list of merges on wrapped tokens; an expression of one call a merge would grow too deep."""
-    ranks = ranks_of(rounds)
+    ranks = ranks_of((T.escaped(left), T.escaped(right)) for left, right in rounds)
 
     @F.pandas_udf("string")
     def run(wrapped: pd.Series) -> pd.Series:

@@ -32,8 +32,9 @@ def ngrams(lines: DataFrame, longest: int = 6) -> DataFrame:
 def initial_pieces(grams: DataFrame, most: int) -> DataFrame:
     """(piece, ord): characters by first place, then candidates by frequency (ties by first place), ``most`` in all."""
     one = F.length("piece") == 1
-    order = Window.orderBy(F.when(one, 0).otherwise(1), F.when(one, 0).otherwise(-F.col("freq")), "doc", "line", "place", "size")
-    return grams.withColumn("ord", F.row_number().over(order)).where(F.col("ord") <= most).select("piece", "ord")
+    order = [F.when(one, 0).otherwise(1), F.when(one, 0).otherwise(-F.col("freq")), F.col("doc"), F.col("line"), F.col("place"), F.col("size")]
+    first = grams.orderBy(*order).limit(most)  # every task hands on ``most`` rows at most
+    return first.withColumn("ord", F.row_number().over(Window.orderBy(*order))).select("piece", "ord")
 
 
 def viterbi(text: str, cost: dict[str, float], longest: int) -> list[str]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.udf(StringType())
-def _lenient(raw):
-    return bytes(raw).decode("utf-8", "ignore")
+@F.pandas_udf(StringType())
+def _lenient(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: bytes(b).decode("utf-8", "ignore"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -25,3 +26,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """Files and characters of the corpus joined by two line feeds."""
     return docs.agg(F.count("*").alias("file_count"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("chars"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """One row (text): the corpus of (doc_id, text) as one text, its files parted by two line feeds in order. A demo corpus fits one row."""
+    every = F.sort_array(F.collect_list(F.struct("doc_id", "text")))
+    return docs.agg(F.array_join(F.transform(every, lambda e: e.getField("text")), "\n\n").alias("text"))

@@ -1 +1 @@
-
+"""Encoding of text streams."""
