@@ -7,13 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Blocks at least into which a matrix is cut, so that no few tasks add up what all have.
+PARTS = 64
+
+
 def total_blocks(rows: DataFrame, make, n_rows: int, n_columns: int) -> np.ndarray:
     """Sum over all partitions of an n_rows x n_columns matrix; make(batches) gives a partition's.
 
     Partitions' matrices are added up block by block on the executors; the driver gets the sum,
     whose size depends on the benchmark alone.
     """
-    block = max(1, (1 << 17) // n_columns)
+    block = max(1, min((1 << 17) // n_columns, -(-n_rows // PARTS)))
     spec = "part int, cells binary"
 
     def fill(batches):

@@ -468,9 +468,12 @@ def test_word_chances_add_up_to_one_at_most(spark, rows):
             yield lm_score.token_ids(part, starts, ends, first, cache, end)
 
     for ids, edge in encoded(texts):
-        blocks += [(ids[a:b].astype("<u2").tobytes(),) for a, b in zip(edge, edge[1:])]
-    (vocabulary, p), n = lm_score.train(spark.createDataFrame(blocks, "ids binary").repartition(3), names, "<u2")
-    assert n == len(texts)
+        for a in range(0, len(texts), 50):
+            part = edge[a : a + 51]
+            blocks.append(([False] * (len(part) - 1), ids[part[0] : part[-1]].astype("<u2").tobytes(), np.diff(part).astype("<u4").tobytes()))
+    junk = ([True] * 2, np.array([7, 8, 9], "<u2").tobytes(), np.array([1, 2], "<u4").tobytes())  # held out: not learned
+    (vocabulary, p), tokens, n = lm_score.train(spark.createDataFrame([*blocks, junk], "held array<boolean>, ids binary, sizes binary").repartition(3), names, "<u2")
+    assert (tokens, n) == (sum(len(t.split()) + 1 for t in texts), len(texts))
     scorer = attention.Scorer(vocabulary, p)
     known = sorted({w for t in texts for w in t.split()} | {f"{a}{b}" for a in ("an", "the", "it", "x", "zebra") for b in ("", "s", "ing", "q")})
     for context in ("", "the ", "an and the "):
