@@ -39,7 +39,8 @@ class Sketch:
 
     @staticmethod
     def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (keys >> np.uint64(40)).astype(np.int64) % WIDTH, (mix(keys) >> np.uint64(40)).astype(np.int64) % WIDTH
+        # keys are minima and so mostly small: mixed, they spread over all counters
+        return tuple((mix(keys ^ np.uint64(salt)) >> np.uint64(40)).astype(np.int64) % WIDTH for salt in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
     def add(self, keys: np.ndarray) -> None:
         for row, place in zip(self.counters, self.places(keys)):
