@@ -131,3 +131,88 @@ def quality_kept(rows, rules):
         for i, p in enumerate(pool):
             out[i] = out[i] and (p != name or distance[i] <= rules.CUT)
     return out
+
+
+def nearest_votes(vectors, labelled, labels, neighbours, sharpness, prior):
+    """Similarity-weighted share of label 1 among each vector's nearest labelled ones."""
+    out = []
+    for x in vectors:
+        near = sorted(((sum(a * b for a, b in zip(x, y)), i) for i, y in enumerate(labelled)), reverse=True)[:neighbours]
+        weights = [max(0.0, s) ** sharpness for s, _ in near]
+        out.append(sum(w * labels[i] for w, (_, i) in zip(weights, near)) / sum(weights) if sum(weights) else prior)
+    return out
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], max(row[j], row[j - 1], last + 1 if x == y else 0)
+    return row[-1]
+
+
+PUNCTUATION = str.maketrans({chr(c): " " for c in range(33, 127) if not chr(c).isalnum()})
+
+
+def held_items(text, items, copy, paraphrase, answer, answer_share):
+    """(certainly held, possibly held) items of (id, text): by the words around every place of the text.
+
+    An item is certainly held if a stretch of the item's own length and a little has the common
+    subsequence, possibly if the surroundings of four times its length have it.
+    """
+    words = WORD.findall((text or "").translate(LOW).translate(PUNCTUATION))
+    sure, maybe, have = set(), set(), Counter(words)
+    for name, body in items:
+        item = WORD.findall((body or "").translate(LOW).translate(PUNCTUATION))
+        n = len(item)
+        if not n or sum((Counter(item) & have).values()) < paraphrase * n:
+            continue
+
+        def held(around):
+            share = common(item, around) / n
+            tail = item[-answer:]
+            return share >= copy or share >= paraphrase and common(tail, around) >= answer_share * len(tail)
+
+        if held(words):
+            for begin in range(0, max(1, len(words) - n // 2), max(1, n // 4)):
+                if name not in maybe and held(words[max(0, begin - 2 * n) : begin + 3 * n]):
+                    maybe.add(name)
+                if held(words[begin : begin + n + max(2, n // 4)]):
+                    sure.add(name)
+                    maybe.add(name)
+                    break
+    return sure, maybe
+
+
+def tree_shard(hash64, key, tree):
+    """Descends a tree of (region, rack, shard, weight) by the least -ln(u) / weight."""
+    import math
+
+    path, level = "", tree
+    for depth in range(3):
+        weights = {}
+        for node in level:
+            weights[str(node[depth])] = weights.get(str(node[depth]), 0.0) + node[3]
+        names = sorted(weights)
+        draws = [(-math.log(((hash64(f"{path}/{name}", key) >> 11) + 0.5) / (1 << 53)) / weights[name], i) for i, name in enumerate(names)]
+        name = names[min(draws)[1]] if len(names) > 1 else names[0]
+        level, path = [node for node in level if str(node[depth]) == name], f"{path}/{name}"
+    return level[0][2]
+
+
+def kept_passages(rows, window, words):
+    """(id, text) in order -> id: the text without later runs of ``window`` lines, or fewer with so many words or a whole text."""
+    first, kept = {}, {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        lines = (t or "").split("\n")
+        gone = [False] * len(lines)
+        for span in range(1, window + 1):
+            for p in range(len(lines) - span + 1):
+                run = tuple(lines[p : p + span])
+                n = len(WORD.findall(" ".join(run)))
+                if first.setdefault(run, (i, p)) != (i, p) and (span == window or n >= words or len(lines) == span and n):
+                    gone[p : p + span] = [True] * span
+        kept[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
+    return kept

@@ -317,6 +317,54 @@ def test_classifier(spark, docs, rows, empty):
     assert {r.score for r in quality_classifier.score(table, labels.limit(0)).collect()} == {0.5}
 
 
+def test_votes_against_brute_force():
+    draw = np.random.default_rng(5)
+    weighted, labels = draw.standard_normal((quality_classifier.TERMS, 8)).astype(np.float32), draw.integers(0, 2, 60).astype(float)
+    voters = quality_classifier.Voters(weighted, np.zeros((0, 8)), labels)
+    texts = [prose(random.Random(i), 40) for i in range(360)] + ["", "  "]
+    facts = quality_classifier.term_counts(*bytesets.flat(pa.array(texts)))
+    every = voters.latent(*facts)
+    voters.vectors = every[:60]
+    want = brute.nearest_votes(every.tolist(), every[:60].tolist(), labels.tolist(), quality_classifier.NEIGHBOURS, quality_classifier.SHARPNESS, voters.prior)
+    assert voters.scores(*facts)[:360] == pytest.approx(want[:360], rel=1e-3, abs=1e-4)
+    assert voters.scores(*facts)[360:].tolist() == [voters.prior] * 2
+    again = brute.Counter(brute.WORD.findall(texts[0]))
+    assert facts[2][(facts[0] == 0) & (facts[1] < quality_classifier.WORDS)].sum() == sum(again.values())
+
+
+def test_held_out_quality(spark):
+    """Area under the curve and accuracy on labelled rows that nothing was learned from."""
+    sf_dir = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op2_quality_classifier(spark, sf_dir).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    good, bad = ([r.score for r in rows if labels[r.doc_id] == k] for k in (1, 0))
+    area = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(rows) > 40 and area > 0.97 and np.mean([r.predicted == labels[r.doc_id] for r in rows]) > 0.95
+
+
+def test_recall_of_decontamination(spark):
+    """Against common subsequences at every place of every text at sf0.01."""
+    sf_dir = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = {r.doc_id: set(r["items"]) for r in queries.op3_decontamination(spark, sf_dir).collect()}
+    rule = (decontaminate.COPY, decontaminate.PARAPHRASE, decontaminate.ANSWER, decontaminate.ANSWER_SHARE)
+    wanted = met = 0
+    for i, text in texts.items():
+        sure, maybe = brute.held_items(text, items, *rule)
+        wanted, met = wanted + len(sure), met + len(sure & found[i])
+        assert found[i] <= maybe, i
+    assert wanted > 15 and met >= 0.95 * wanted
+
+
+def test_decontamination_in_rounds(spark, monkeypatch):
+    """Of a benchmark in many rounds each row comes out once, with the items of all rounds."""
+    sf_dir = "/root/testdata/sf0.001"
+    whole = {r.doc_id: r["items"] for r in queries.op3_decontamination(spark, sf_dir).collect()}
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)
+    assert {r.doc_id: r["items"] for r in queries.op3_decontamination(spark, sf_dir).collect()} == whole and any(whole.values())
+
+
 def test_decontamination(spark, docs, rows, empty):
     draw = random.Random(4)
     items = [(i, prose(draw, draw.randint(18, 50)).capitalize() + ".") for i in range(30)]
@@ -517,18 +565,7 @@ def test_passages_of_one_and_two_lines(spark, docs, rows):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     assert {r.doc_id: r.text or "" for r in line_dedup.remove_runs(table, words=50).collect()} == dict(enumerate(want))
 
-    first, kept = {}, {}
-    for i, t, *_ in rows:
-        lines = (t or "").split("\n")
-        gone = [False] * len(lines)
-        for span in (1, 2, 3):
-            for p in range(len(lines) - span + 1):
-                run = tuple(lines[p : p + span])
-                n = len(brute.WORD.findall(" ".join(run)))
-                if first.setdefault(run, (i, p)) != (i, p) and (span == 3 or n >= 50 or len(lines) == span and n):
-                    gone[p : p + span] = [True] * span
-        kept[i] = "\n".join(x for x, g in zip(lines, gone) if not g)
-    assert {r.doc_id: r.text or "" for r in line_dedup.remove_runs(docs, words=50).collect()} == kept
+    assert {r.doc_id: r.text or "" for r in line_dedup.remove_runs(docs, words=50).collect()} == brute.kept_passages([r[:2] for r in rows], 3, 50)
 
 
 def test_shards(spark, docs, rows, empty):
@@ -544,6 +581,19 @@ def test_shards(spark, docs, rows, empty):
     assert sharding.shard_rows(odd(spark, rows)).count() == len(rows) + 4
 
 
+def test_shards_against_a_plain_descent(spark):
+    tree = sharding.even_tree(8)
+    names = {f"{path}" for region, rack, i, _ in sharding.grow(tree) for path in (f"/{region}", f"/{region}/{rack}", f"/{region}/{rack}/{i}")}
+    keys = [str(i) for i in range(60)] + ["\x00null"]
+    table = spark.createDataFrame([(n, k) for n in names for k in keys], "n string, k string").select("n", "k", F.xxhash64("n", "k").alias("h"))
+    hashes = {(r.n, r.k): r.h % (1 << 64) for r in table.collect()}
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(60)] + [(None, "y")], "doc_id bigint, text string")
+    for r in sharding.shard_rows(docs).collect():
+        key = "\x00null" if r.doc_id is None else str(r.doc_id)
+        draw = lambda name, k: hashes[name, k]
+        assert r.shard == brute.tree_shard(draw, key, tree) and r.grown_shard == brute.tree_shard(draw, key, sharding.grow(tree))
+
+
 def test_weights_are_kept_and_moves_are_confined(spark):
     keys = spark.range(20000)
     tree = [("a", "r", 0, 1.0), ("a", "q", 1, 2.0), ("b", "r", 2, 1.0)]
@@ -577,11 +627,26 @@ def test_stages_on_odd_tables(spark, rows, empty):
 
 
 def test_pipeline(spark):
+    """The four stages that keep rows, and the encoding, against plain versions run one after another."""
     sf_dir = "/root/testdata/sf0.001"
-    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), given.schema)
-        assert docs.columns == given.columns and 0 < docs.count() <= before, name
-    last = {tuple(r) for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()}
-    assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == last
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rows = sorted(tuple(r) for r in given.collect())
+    at = {c: given.columns.index(c) for c in given.columns}
+    kept = brute.quality_kept([(r[at["lang"]], r[at["source"]], r[at["text"]]) for r in rows], quality_rules)
+    plain = [list(r) for r, good in zip(rows, kept) if good]
+    cut = brute.kept_passages([(r[0], r[at["text"]]) for r in plain], 3, queries.PASSAGE)
+    for r in plain:
+        if r[at["text"]] is not None and cut[r[0]] != r[at["text"]]:
+            r[at["text"]], r[at["n_chars"]] = cut[r[0]], len(cut[r[0]])
+    near = brute.near_components([(r[0], r[at["text"]]) for r in plain], 5, 80)
+    plain = [r for r in plain if near[r[0]][1] == r[0]]
+    rule = (decontaminate.COPY, decontaminate.PARAPHRASE, decontaminate.ANSWER, decontaminate.ANSWER_SHARE)
+    plain = [r for r in plain if not brute.held_items(r[at["text"]], items, *rule)[0]]
+    theirs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    want = {}
+    for r in plain:
+        ids = theirs.encode_ordinary(r[at["text"]] or "")
+        want[r[0]] = (len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha((r[at["text"]] or "").encode()))
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert found == want and 50 < len(found) < len(rows)
