@@ -16,8 +16,8 @@ from lexloom.operators import merge_loop
 from lexloom.plans.cut import cut
 from lexloom.plans.spread import spread
 
-#: Up to so many distinct words the rounds run incrementally in the driver's memory (about 1 KB a word).
-LOCAL_WORDS = 1_000_000
+#: Up to so many distinct words the rounds run incrementally in the driver's memory (about 300 bytes a word).
+LOCAL_WORDS = 3_000_000
 #: Up to so many merges are one expression; longer lists run in a vectorised function.
 FEW_MERGES = 16
 
@@ -28,10 +28,30 @@ def words(docs: DataFrame, mode: str = "word", key: str = "doc_id", text: str =
     return docs.select(F.col(key).alias("doc"), F.posexplode(T.split_words(body)).alias("pos", "word"))
 
 
+def first_place(rows: DataFrame, doc: str, *places: str) -> tuple[Column, list[Column]]:
+    """(least (doc, places...) as an aggregate ``first``, the columns to read out of it).
+
+    Of integer documents and places (below 2**31) it is packed into one decimal, which Spark keeps
+    in a hash table; for the least of a struct it would sort all rows first.
+    """
+    if rows.schema[doc].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return F.min(F.struct(doc, *places)).alias("first"), [F.col(f"first.{c}") for c in (doc, *places)]
+    unit, packed = 1 << 31 * len(places), F.col(doc).cast("decimal(19,0)") * F.lit(1 << 31 * len(places)).cast("decimal(19,0)")
+    for k, place in enumerate(reversed(places)):
+        packed = packed + F.col(place).cast("decimal(10,0)") * F.lit(1 << 31 * k).cast("decimal(10,0)")
+    rest = f"pmod(first, {unit}BD)"
+    back = [F.expr(f"(first - {rest}) div {unit}BD").cast(rows.schema[doc].dataType).alias(doc)]
+    for k, place in enumerate(places):
+        under = 1 << 31 * (len(places) - 1 - k)
+        back.append(F.expr(f"pmod({rest} div {under}BD, {1 << 31}L)").cast("int").alias(place))
+    return F.min(packed.cast("decimal(38,0)")).alias("first"), back
+
+
 def word_counts(docs: DataFrame, mode: str = "word", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, cnt, doc, pos): distinct words with their counts and first places."""
-    counted = words(spread(docs.select(key, text)), mode, key, text).groupBy("word").agg(F.count("*").alias("cnt"), F.min(F.struct("doc", "pos")).alias("first"))
-    return counted.select("word", "cnt", "first.doc", "first.pos")
+    every = words(spread(docs.select(key, text)), mode, key, text)
+    first, back = first_place(every, "doc", "pos")
+    return every.groupBy("word").agg(F.count("*").alias("cnt"), first).select("word", "cnt", *back)
 
 
 def with_tokens(counts: DataFrame, mode: str = "word") -> DataFrame:
@@ -45,8 +65,9 @@ def pair_stats(state: DataFrame) -> DataFrame:
     tokens = state.select("cnt", "doc", "pos", k.alias("k"))
     pairs = F.arrays_zip(F.col("k").alias("l"), F.slice("k", F.lit(2), F.size("k")).alias("r"))
     each = tokens.select("cnt", "doc", "pos", F.posexplode(pairs).alias("place", "p")).where("p.r <> ''")
-    counted = each.groupBy("p.l", "p.r").agg(F.sum("cnt").alias("freq"), F.min(F.struct("doc", "pos", "place")).alias("first"))
-    return counted.select(T.unescape(F.col("l")).alias("l"), T.unescape(F.col("r")).alias("r"), "freq", "first.doc", "first.pos", "first.place")
+    first, back = first_place(each, "doc", "pos", "place")
+    counted = each.groupBy("p.l", "p.r").agg(F.sum("cnt").alias("freq"), first)
+    return counted.select(T.unescape(F.col("l")).alias("l"), T.unescape(F.col("r")).alias("r"), "freq", *back)
 
 
 def best_pair(state: DataFrame) -> DataFrame:
@@ -99,9 +120,8 @@ class Bpe:
         return self
 
     def _learn_here(self, start: DataFrame, rounds: int):
-        table = start.select("doc", "pos", "s", "cnt").toPandas().sort_values(["doc", "pos"])  # local_words rows at most
-        words = ((s[1:-1].split(T.CLOSE + T.OPEN), int(n)) for s, n in zip(table["s"], table["cnt"]))
-        found = [((T.plain(left), T.plain(right)), n) for (left, right), n in merge_loop.learn(words, rounds, self.min_freq)]
+        table = start.select("doc", "pos", "word", "cnt").toPandas().sort_values(["doc", "pos"])  # local_words rows at most
+        found = merge_loop.learn(merge_loop.Symbols.of_words(table["word"].tolist(), table["cnt"].tolist(), self.mode), rounds, self.min_freq)
         return found, start.withColumn("s", apply_merges(F.col("s"), [pair for pair, _ in found]))
 
     def _learn_there(self, state: DataFrame, rounds: int):

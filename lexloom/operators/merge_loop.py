@@ -6,12 +6,12 @@ one aggregation a round over the whole table (``bpe.Bpe`` runs that beyond the b
 
 from __future__ import annotations
 
-import gc
 import heapq
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,27 +36,96 @@ def merge_tokens(tokens: list[str], left: str, right: str) -> list[str]:
     return out
 
 
+class Symbols:
+    """The tokens of all distinct words, one after another as numbers, in first-seen order of the words."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, weights: np.ndarray, names: list[str]):
+        self.tokens, self.names = tokens.astype(np.int32), names
+        self.number = {name: i for i, name in enumerate(names)}
+        self.word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.weights = weights.astype(np.int64)
+
+    @classmethod
+    def of_tokens(cls, words: Iterable[tuple[list[str], int]]) -> "Symbols":
+        words = list(words)
+        names = sorted({t for tokens, _ in words for t in tokens})
+        number = {t: i for i, t in enumerate(names)}
+        flat = np.array([number[t] for tokens, _ in words for t in tokens], np.int64)
+        return cls(flat, np.array([len(t) for t, _ in words], np.int64), np.array([n for _, n in words], np.int64), names)
+
+    @classmethod
+    def of_words(cls, words: list[str], counts: list[int], mode: str) -> "Symbols":
+        """Code points or UTF-8 bytes of the words, each followed by the end-of-word token."""
+        raw = ["".join(words)] if mode == "word" else [b"".join(w.encode() for w in words)]
+        points = np.frombuffer(raw[0].encode("utf-32-le") if mode == "word" else raw[0], "<u4" if mode == "word" else "u1")
+        sizes = np.array([len(w) if mode == "word" else len(w.encode()) for w in words], np.int64)
+        values, numbers = np.unique(points, return_inverse=True)
+        names = [chr(v) if mode == "word" else f"{v:02X}" for v in values.tolist()]
+        ends = np.cumsum(sizes)
+        flat = np.insert(numbers, ends, len(names)) if len(sizes) else numbers
+        return cls(flat, sizes + 1, np.array(counts, np.int64), [*names, T.EOW])
+
+    def pairs(self, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(key, weight) of the adjacent pairs, of all words or of those that ``inside`` marks by place."""
+        at = np.arange(len(self.tokens) - 1) if inside is None else inside[inside < len(self.tokens) - 1]
+        at = at[self.word[at] == self.word[at + 1]]
+        return self.tokens[at].astype(np.int64) << 32 | self.tokens[at + 1], self.weights[self.word[at]]
+
+    def places(self, left: int, right: int) -> np.ndarray:
+        """Where the pair stands, overlaps included."""
+        at = np.flatnonzero(self.tokens[:-1] == left)
+        at = at[self.tokens[at + 1] == right]
+        return at[self.word[at] == self.word[at + 1]]
+
+    def merge(self, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge every leftmost pair; (keys, changes of their counts). Tokens of one spelling are one token."""
+        at = self.places(left, right)
+        if left == right and len(at) > 1:  # of a run of overlapping pairs every other one, from the left
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            at = at[(np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))) % 2 == 0]
+        words = np.unique(self.word[at])
+        old, old_weight = self.pairs(places_of(self.word, words))
+        name = self.names[left] + self.names[right]
+        if name not in self.number:
+            self.number[name] = len(self.names)
+            self.names.append(name)
+        self.tokens[at] = self.number[name]
+        keep = np.ones(len(self.tokens), bool)
+        keep[at + 1] = False
+        self.tokens, self.word = self.tokens[keep], self.word[keep]
+        new, new_weight = self.pairs(places_of(self.word, words))
+        keys, of = np.unique(np.concatenate([old, new]), return_inverse=True)
+        return keys, np.bincount(of, np.concatenate([-old_weight, new_weight]), len(keys)).round().astype(np.int64)
+
+
+def places_of(word: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Places of the words ``some`` in the rising array ``word``."""
+    if len(some) > 1000:
+        marked = np.zeros(int(word[-1]) + 1, bool)
+        marked[some] = True
+        return np.flatnonzero(marked[word])
+    a, b = np.searchsorted(word, some), np.searchsorted(word, some, "right")
+    sizes = b - a
+    return np.arange(sizes.sum()) + np.repeat(a - (np.cumsum(sizes) - sizes), sizes)
+
+
 class PairCounts:
-    """Weighted counts of adjacent pairs over words in first-seen order, and the words of each pair."""
-
-    def __init__(self, words: Iterable[tuple[list[str], int]]):
-        self.tokens, self.weight = [], []
-        self.count: dict[Pair, int] = defaultdict(int)
-        self.where: dict[Pair, set[int]] = defaultdict(set)
-        self.tied: dict[int, set[Pair]] = defaultdict(set)
-        for n, (tokens, weight) in enumerate(words):
-            self.tokens.append(tokens)
-            self.weight.append(weight)
-            for pair in zip(tokens, tokens[1:]):
-                self.count[pair] += weight
-                self.where[pair].add(n)
-        for pair, c in self.count.items():
-            self.tied[c].add(pair)
+    """Weighted counts of adjacent pairs, kept up to date from round to round."""
+
+    def __init__(self, symbols: Symbols):
+        self.symbols = symbols
+        keys, weights = symbols.pairs()
+        keys, of = np.unique(keys, return_inverse=True)
+        counts = np.bincount(of, weights, len(keys)).round().astype(np.int64)
+        self.count: dict[int, int] = dict(zip(keys.tolist(), counts.tolist()))
+        self.tied: dict[int, set[int]] = defaultdict(set)
+        for key, c in self.count.items():
+            self.tied[c].add(key)
         self.heap = [-c for c in self.tied]
         heapq.heapify(self.heap)
 
-    def best(self) -> tuple[Pair, int] | None:
-        """The commonest pair and its count; ties go to the earliest word, then the earliest place in it."""
+    def best(self) -> tuple[int, int] | None:
+        """The commonest pair's key and its count; ties go to the earliest word, then the earliest place in it."""
         while self.heap and not self.tied.get(-self.heap[0]):
             self.tied.pop(-heapq.heappop(self.heap), None)
         if not self.heap:
@@ -64,56 +133,32 @@ class PairCounts:
         top = -self.heap[0]
         return min(self.tied[top], key=self._first) if len(self.tied[top]) > 1 else next(iter(self.tied[top])), top
 
-    def _first(self, pair: Pair) -> tuple[int, int]:
-        n = min(self.where[pair])
-        tokens = self.tokens[n]
-        return n, next(i for i in range(len(tokens) - 1) if (tokens[i], tokens[i + 1]) == pair)
-
-    def _move(self, pair: Pair, by: int) -> None:
-        old, new = self.count[pair], self.count[pair] + by
-        self.tied[old].discard(pair)
-        if new:
-            if new not in self.tied:
-                heapq.heappush(self.heap, -new)
-            self.tied[new].add(pair)
-            self.count[pair] = new
-        else:
-            del self.count[pair]
+    def _first(self, key: int) -> int:
+        return int(self.symbols.places(key >> 32, key & 0xFFFFFFFF)[0])
 
-    def merge(self, pair: Pair) -> None:
+    def merge(self, key: int) -> None:
         """Merge a pair in every word that holds it."""
-        moved: dict[Pair, int] = defaultdict(int)
-        for n in list(self.where[pair]):
-            before, weight = self.tokens[n], self.weight[n]
-            after = self.tokens[n] = merge_tokens(before, *pair)
-            old, new = list(zip(before, before[1:])), list(zip(after, after[1:]))
-            for p in old:
-                moved[p] -= weight
-            for p in new:
-                moved[p] += weight
-            old, new = set(old), set(new)
-            for p in old - new:
-                self.where[p].discard(n)
-            for p in new - old:
-                self.where[p].add(n)
-        for p, by in moved.items():
+        keys, changes = self.symbols.merge(key >> 32, key & 0xFFFFFFFF)
+        for k, by in zip(keys.tolist(), changes.tolist()):
             if by:
-                self._move(p, by)
+                old = self.count.pop(k, 0)
+                self.tied[old].discard(k)
+                if new := old + by:
+                    if new not in self.tied:
+                        heapq.heappush(self.heap, -new)
+                    self.tied[new].add(k)
+                    self.count[k] = new
 
 
-def learn(words: Iterable[tuple[list[str], int]], rounds: int, min_freq: int) -> list[tuple[Pair, int]]:
+def learn(symbols: Symbols | Iterable[tuple[list[str], int]], rounds: int, min_freq: int) -> list[tuple[Pair, int]]:
     """(pair, count) of every round."""
-    collect = gc.isenabled()
-    gc.disable()  # millions of small lists, none of them in cycles
-    try:
-        state, out = PairCounts(words), []
-        while len(out) < rounds and (top := state.best()) and top[1] >= min_freq:
-            out.append(top)
-            state.merge(top[0])
-        return out
-    finally:
-        if collect:
-            gc.enable()
+    symbols = symbols if isinstance(symbols, Symbols) else Symbols.of_tokens(symbols)
+    state, out = PairCounts(symbols), []
+    while len(out) < rounds and (top := state.best()) and top[1] >= min_freq:
+        key, count = top
+        out.append(((symbols.names[key >> 32], symbols.names[key & 0xFFFFFFFF]), count))
+        state.merge(key)
+    return out
 
 
 def apply_rounds(tokens: list[str], ranks: dict[Pair, list[int]]) -> list[str]:

@@ -244,3 +244,15 @@ def test_unigram_training_against_plain_loops(spark):
         total = sum(max(1, used[p]) for p in pieces)
         cost = {p: -math.log(max(1, used[p]) / total) for p in pieces}
     assert set(model.costs) == set(cost) and all(model.costs[p] == pytest.approx(cost[p]) for p in cost)
+
+
+# -- first places --------------------------------------------------------------------------------------
+def test_first_places_of_any_key(spark):
+    rows = [((1 << 63) - 1, "x y"), (-(1 << 63), "z y"), (-3, "x"), (7, "x q"), (7, "p x")]
+    counts = bpe.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {r.word: (r.cnt, r.doc, r.pos) for r in counts.collect()}
+    assert found == {"x": (4, -3, 0), "y": (2, -(1 << 63), 1), "z": (1, -(1 << 63), 0), "q": (1, 7, 1), "p": (1, 7, 0)}
+    pairs = {(r.l, r.r): (r.freq, r.doc, r.pos, r.place) for r in bpe.pair_stats(bpe.with_tokens(counts)).collect()}
+    assert pairs == {("x", T.EOW): (4, -3, 0, 0), ("y", T.EOW): (2, -(1 << 63), 1, 0), ("z", T.EOW): (1, -(1 << 63), 0, 0), ("q", T.EOW): (1, 7, 1, 0), ("p", T.EOW): (1, 7, 0, 0)}
+    named = bpe.word_counts(spark.createDataFrame([("b", "x"), ("a", "y x")], "doc_id string, text string"))
+    assert {r.word: (r.cnt, r.doc, r.pos) for r in named.collect()} == {"x": (2, "a", 1), "y": (1, "a", 0)}
