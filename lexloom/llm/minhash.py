@@ -30,8 +30,8 @@ FINE, SIGMAS = 512, 4.5
 BROADCAST_IDS = 500_000
 #: Shingles of a strip (nodes left over) and of a piece (nodes compared with) at most when a group is searched.
 STRIP, PIECE = 1_000_000, 2_000_000
-#: A group is dealt into so many pieces at least, unless these would have less than SMALL shingles.
-PIECES, SMALL = 16, 1 << 15
+#: A group is dealt into so many strips and pieces at least, unless these would have less than SMALL shingles.
+PARTS, SMALL = 8, 1 << 14
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -259,9 +259,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     hub_names = hubs.join(labels, hubs.hub == labels.node, "left").select("band", F.coalesce("label", "hub").alias("group"))
     both = named.join(hub_names, "band").select("group", "node", "n", "label", (F.col("label") != F.col("group")).alias("left")).distinct()
     sized = both.groupBy("group").agg(F.sum(F.when(F.col("left"), F.col("n"))).alias("over"), F.sum("n").alias("all")).where("over > 0")
-    deal = lambda total, most: F.ceil(F.col(total) / most).cast("long")
-    piece = F.greatest(F.lit(SMALL), F.least(F.lit(PIECE), F.col("all") / PIECES))
-    rows = both.join(sized.select("group", deal("over", STRIP).alias("strips"), deal("all", piece).alias("pieces")), "group")
+    deal = lambda total, most: F.ceil(F.col(total) / F.greatest(F.lit(SMALL), F.least(F.lit(most), F.col(total) / PARTS))).cast("long")
+    rows = both.join(sized.select("group", deal("over", STRIP).alias("strips"), deal("all", PIECE).alias("pieces")), "group")
     more = stage(search_groups(stage(rows, "groups"), sets, percent), "links")
     if more.limit(1).count():
         labels = components(edges.union(more))
