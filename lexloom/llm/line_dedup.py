@@ -24,7 +24,7 @@ from lexloom.llm.staging import stage
 
 #: Bytes of text in a record batch that is handed on.
 HANDED = 4 << 20
-#: Parts of a fingerprint's places.
+#: Parts of a fingerprint's places; half as many of a window's.
 SALTS = 16
 #: A fingerprint's text, the first line of its reach, both hashes of the lines there, and its windows.
 PRINTS = "fingerprint bigint, print bigint, pos int, first array<bigint>, second array<bigint>, codes array<int>"
@@ -118,7 +118,9 @@ def later_runs(docs: DataFrame, window: int, words: int | None) -> DataFrame:
     )
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "print", "pos")
     origins = matches.groupBy("one", "two").agg(F.min(place).alias("origin"), F.max(F.when(F.col("takes"), place)).alias("end")).where("origin < end").drop("end")
-    later = matches.where("takes").join(origins, ["one", "two"]).where(place > F.col("origin"))
+    origins = origins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS // 2 - 1))))
+    dealt = matches.where("takes").withColumn("salt", F.pmod(F.xxhash64("doc_id", "print", "pos"), F.lit(SALTS // 2)).cast("int"))
+    later = dealt.join(origins, ["one", "two", "salt"]).where(place > F.col("origin"))
     return later.groupBy("doc_id", "print").agg(F.collect_set(F.col("pos").cast("long") * (window + 1) + F.col("span")).alias("runs"))
 
 
