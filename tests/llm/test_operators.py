@@ -426,8 +426,10 @@ def test_language_model(spark, docs, rows, empty):
 def test_attention_gradient():
     draw = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention.new_parameters().items()}
-    p["pair"], p["logit"] = draw.standard_normal(p["pair"].shape) * 0.1, draw.standard_normal(p["logit"].shape) * 0.25
-    inputs, target = draw.integers(0, 50, (2, 2 * attention.STEP)), draw.integers(0, 50, (2, attention.STEP))
+    for name in ("pair", "inside", "logit", "member"):
+        p[name] = draw.standard_normal(p[name].shape) * 0.2
+    inputs, target = draw.integers(0, 50, (2, 2 * attention.STEP)), draw.integers(0, 100, (2, attention.STEP))
+    target[0, :4] = [attention.OWN, attention.OWN + 1, attention.OWN - 1, attention.OWN]
     known, counted = np.ones((2, 2 * attention.STEP), bool), draw.random((2, attention.STEP)) < 0.9
     known[0, : attention.STEP] = False
     loss = lambda: attention.loss_and_gradient(p, inputs, known, target, counted)
@@ -460,6 +462,18 @@ def test_attention_probabilities_add_up():
     assert total == pytest.approx(1, abs=1e-3) and trainer.losses[-1] < trainer.losses[0] * 0.8
 
 
+def test_probabilities_of_many_ids_add_up():
+    """Own outputs, both rests, and the chance that an id opens a word."""
+    draw = np.random.default_rng(8)
+    ids, opens = draw.integers(0, 3000, 5000), np.arange(5000) % 4 == 0
+    vocabulary, trainer = learned(ids, 5000, 20, opens)
+    assert len(set(vocabulary.slots[vocabulary.slots < attention.OWN].tolist())) == attention.OWN - attention.MEMBERS
+    every = np.stack([np.full(5000, 5), np.full(5000, 9), np.arange(5000)], 1).ravel()
+    logs, opening = attention.Scorer(vocabulary, trainer.p).logs(every, np.arange(0, 15001, 3))
+    share = np.exp(logs[2::3])
+    assert share.sum() == pytest.approx(1, abs=2e-3) and share[opens].sum() == pytest.approx(np.exp(opening[2]), abs=2e-3)
+
+
 def test_context_tells_250_ids_apart():
     ids = np.tile(np.arange(1, 251), 20)
     vocabulary, trainer = learned(ids, 600)
@@ -481,9 +495,10 @@ def test_attention_reaches_past_the_last_token():
 def test_windowed_scores_against_plain_attention():
     """Each token is scored once, by its own row and the row before it."""
     draw = np.random.default_rng(4)
-    ids = draw.integers(0, 500, 150)
-    opens = (np.arange(600) % 3 == 0).astype(float)
-    vocabulary, trainer = learned(ids, 600, 50, opens)
+    ids = np.append(draw.integers(0, 500, 140), [3000, 3001, 3002, 3500] * 2 + [1, 2])
+    opens = np.arange(4000) % 3 == 0
+    vocabulary, trainer = learned(ids, 4000, 50, opens)
+    assert {attention.OWN, attention.OWN + 1} <= set(vocabulary.slots.tolist())
     p, step = trainer.p, attention.STEP
     p["near"] = draw.standard_normal(2 * step).astype(np.float32)
     first = np.array([0, 5, 5, 70, 150])
@@ -496,10 +511,13 @@ def test_windowed_scores_against_plain_attention():
             score = (x[since : t + 1] @ p["key"]) @ (x[t] @ p["query"]) / attention.WIDTH**0.5 + p["near"][t - np.arange(since, t + 1)]
             weight = np.exp(score - score.max())
             hidden = x[t] + weight / weight.sum() @ (x[since : t + 1] @ p["value"]) @ p["out"]
-            power = np.exp(hidden @ p["logit"] + p["pair"][before[t]])
-            share = power / power.sum()
-            own = vocabulary.outputs[ids[a + t]]
-            assert logs[a + t] == pytest.approx(np.log(share[own]) + vocabulary.inside[ids[a + t]], abs=2e-3)
+            share = attention.softmax(hidden @ p["logit"] + p["pair"][before[t]])
+            slot = vocabulary.slots[ids[a + t]]
+            kind = attention.class_of(slot)
+            want = np.log(share[kind]) + vocabulary.inside[ids[a + t]]
+            if slot < attention.OWN:
+                want += np.log(attention.softmax(hidden @ p["member"][kind] + p["inside"][before[t], kind])[slot % attention.MEMBERS])
+            assert logs[a + t] == pytest.approx(want, abs=2e-3)
             assert np.exp(opening[a + t]) == pytest.approx(share @ vocabulary.opening, abs=1e-3)
 
 
