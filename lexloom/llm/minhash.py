@@ -31,7 +31,7 @@ BROADCAST_IDS = 500_000
 #: Shingles of a strip (nodes left over) and of a piece (nodes compared with) at most when a group is searched.
 STRIP, PIECE = 1_000_000, 2_000_000
 #: A group is dealt into so many strips and pieces at least, unless these would have less than SMALL shingles.
-PARTS, SMALL = 8, 1 << 14
+PARTS, SMALL = 16, 1 << 13
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
