@@ -538,6 +538,21 @@ def document_stream(spark, sf_dir):
     return dataset.token_stream(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), ids.alias("ids")))
 
 
+@query("""WITH words AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS w FROM documents),
+stream AS (SELECT row_number() OVER (ORDER BY doc_id, place) - 1 AS pos, id FROM (SELECT doc_id, generate_subscripts(w, 1) AS place, length(unnest(w)) AS id FROM words)),
+shifted AS (SELECT pos, id, lead(id) OVER (ORDER BY pos) AS y FROM stream)
+SELECT (pos // 256 * 256)::BIGINT AS start, list(id ORDER BY pos) AS x, list(y ORDER BY pos) AS y FROM shifted GROUP BY pos // 256 HAVING count(y) = 256""")
+def document_windows(spark, sf_dir):
+    stream = document_stream(spark, sf_dir).withColumn("id", F.col("id").cast("int"))
+    return dataset.windows(stream, dataset.strided_starts(stream, 256, 256), 256).select("start", F.col("x").cast("array<bigint>").alias("x"), F.col("y").cast("array<bigint>").alias("y"))
+
+
+@query(f"WITH {trained_ctes('documents', 'doc_id', 10)} SELECT e.doc, e.pos::INT AS pos, e.word, {tokens_of('w.s')} AS tokens FROM each e JOIN w10 w USING (word)")
+def tokenize_documents(spark, sf_dir):
+    model, docs = trained(spark, sf_dir)
+    return model.tokenize(docs)
+
+
 @query(f"SELECT token, id FROM (WITH {trained_ctes('benchmark', 'item_id', 10)}, {vocab_ctes(10)} SELECT token, id FROM vocab)")
 def vocab_json_round_trip(spark, sf_dir):
     model, _ = trained(spark, sf_dir, "benchmark", key="item_id")

@@ -18,6 +18,8 @@ from lexloom.plans.spread import spread
 
 #: Up to so many distinct words the rounds run incrementally in the driver's memory (about 300 bytes a word).
 LOCAL_WORDS = 3_000_000
+#: Vocabularies of up to so many tokens are broadcast after they are counted.
+MOST_TOKENS = 1_000_000
 #: Up to so many merges are one expression; longer lists run in a vectorised function.
 FEW_MERGES = 16
 
@@ -157,20 +159,23 @@ class Bpe:
         return number_tokens(seen)
 
     def tokenize(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(doc, pos, word, tokens): merges run once for each distinct word, then join back."""
-        every = words(docs, self.mode, key, text)
-        start = with_tokens(every.select("word").distinct(), self.mode)
-        known = start.select("word", T.unwrap(apply_merges(F.col("s"), self.merges)).alias("tokens"))
-        return every.join(known, "word").select("doc", "pos", "word", "tokens")
+        """(doc, pos, word, tokens) without a shuffle: the merges go to every task, which keeps the words it has met."""
+        split = self._words(docs, key, text)
+        known = split.select("doc", "words", merge_loop.tokenizer(self.merges, self.mode)(F.col("words")).alias("tokens"))
+        return known.select("doc", F.posexplode(F.arrays_zip("words", "tokens")).alias("pos", "w")).select("doc", "pos", F.col("w.words").alias("word"), "w.tokens")
+
+    def _words(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """(doc, words) of the texts that have any."""
+        body = T.isolate_cjk(F.col(text)) if self.mode == "word" else F.col(text)
+        given = docs.select(key, text)
+        return (given if docs.isStreaming else spread(given)).select(F.col(key).alias("doc"), T.split_words(body).alias("words")).where(F.size("words") > 0)
 
     def encode(self, docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc, ids) without a shuffle: merges and vocabulary (bounded by the merges) go to every task, which keeps the words it has met.
 
         A text without words has no row, as when its tokens are packed.
         """
-        body = T.isolate_cjk(F.col(text)) if self.mode == "word" else F.col(text)
-        given = docs.select(key, text)
-        split = (given if docs.isStreaming else spread(given)).select(F.col(key).alias("doc"), T.split_words(body).alias("words")).where(F.size("words") > 0)
+        split = self._words(docs, key, text)
         known = {r.token: r.id for r in vocabulary.select("token", "id").collect()}
         return split.select("doc", merge_loop.encoder(self.merges, known, self.mode)(F.col("words")).alias("ids"))
 
@@ -183,20 +188,18 @@ def number_tokens(seen: DataFrame) -> DataFrame:
 
 
 def encode(tokenized: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc, ids): every token's id, 0 if it has none, in order."""
+    """(doc, ids): every token's id, 0 if it has none, in order. A vocabulary is bounded by its merges and alphabet and sent to every task."""
+    known = vocabulary.select("token", "id")
     flat = tokenized.select("doc", "pos", F.posexplode("tokens").alias("place", "token"))
-    found = flat.join(vocabulary.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(0)))
+    found = flat.join(F.broadcast(known) if known.count() <= MOST_TOKENS else known, "token", "left").withColumn("id", F.coalesce("id", F.lit(0)))
     packed = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "place", "id"))).alias("x"))
     return packed.select("doc", F.transform("x", lambda x: x.getField("id")).alias("ids"))
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(doc, tokens): an unknown id raises."""
-    flat = ids.select("doc", F.posexplode("ids").alias("place", "id"))
-    found = flat.join(vocabulary.select("id", "token"), "id", "left")
-    sure = F.coalesce("token", F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string"))).cast("string"))
-    packed = found.withColumn("token", sure).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("x"))
-    return packed.select("doc", F.transform("x", lambda x: x.getField("token")).alias("tokens"))
+    """(doc, tokens), row by row: an unknown id raises. Texts without ids have no row."""
+    names = {r.id: r.token for r in vocabulary.select("id", "token").collect()}  # bounded by merges and alphabet
+    return ids.where(F.size("ids") > 0).select("doc", merge_loop.speller(names)(F.col("ids")).alias("tokens"))
 
 
 def detokenize(tokens: Column, mode: str = "word") -> Column:

@@ -184,15 +184,16 @@ def ranks_of(rounds: Iterable[Pair]) -> dict[Pair, list[int]]:
     return ranks
 
 
-def encoder(rounds: list[Pair], ids: dict[str, int], mode: str):
-    """A function from a column of words to one of ids (0: unknown); words met before are remembered, up to a bound."""
-    ranks, seen = ranks_of(rounds), {}
+def symbols_of(word: str, mode: str) -> list[str]:
+    """A word's code points, or its bytes in hexadecimal, and the end-of-word token."""
+    return [*(list(word) if mode == "word" else [f"{b:02X}" for b in word.encode()]), T.EOW]
+
 
-    def one(word: str) -> list[int]:
-        symbols = list(word) if mode == "word" else [f"{b:02X}" for b in word.encode()]
-        return [ids.get(t, 0) for t in apply_rounds([*symbols, T.EOW], ranks)]
+def remembered(work, kind: str, flat: bool):
+    """A function from a column of words to ``work`` of each word; words met before are remembered, up to a bound."""
+    seen: dict = {}
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(kind)
     def run(lists: pd.Series) -> pd.Series:
         out = []
         for words in lists:
@@ -204,14 +205,45 @@ def encoder(rounds: list[Pair], ids: dict[str, int], mode: str):
             row = []
             for word in words:
                 if (found := seen.get(word)) is None:
-                    found = seen[word] = one(word)
-                row += found
+                    found = seen[word] = work(word)
+                if flat:
+                    row += found
+                else:
+                    row.append(found)
             out.append(row)
         return pd.Series(out, dtype=object)
 
     return run
 
 
+def encoder(rounds: list[Pair], ids: dict[str, int], mode: str):
+    """A function from a column of words to one of all their ids (0: unknown)."""
+    ranks = ranks_of(rounds)
+    return remembered(lambda word: [ids.get(t, 0) for t in apply_rounds(symbols_of(word, mode), ranks)], "array<int>", True)
+
+
+def tokenizer(rounds: list[Pair], mode: str):
+    """A function from a column of words to one of each word's tokens."""
+    ranks = ranks_of(rounds)
+    return remembered(lambda word: apply_rounds(symbols_of(word, mode), ranks), "array<array<string>>", False)
+
+
+def speller(tokens: dict[int, str]):
+    """A function from a column of ids to one of tokens; an unknown id raises."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        def one(ids):
+            try:
+                return [tokens[i] for i in ids]
+            except KeyError as unknown:
+                raise ValueError(f"unknown id {unknown}") from None
+
+        return pd.Series([None if ids is None else one(ids) for ids in lists], dtype=object)
+
+    return run
+
+
 def merged_by(s: Column, rounds: list[Pair]) -> Column:
     """A long list of merges on wrapped tokens; an expression of one call a merge would grow too deep."""
     ranks = ranks_of((T.escaped(left), T.escaped(right)) for left, right in rounds)
