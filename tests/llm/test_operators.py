@@ -423,6 +423,16 @@ def test_language_model(spark, docs, rows, empty):
     assert lm_score.score(empty, F.lit(False), RANKS).count() == 0
 
 
+def test_subwords_with_and_without_the_library():
+    names, draw = byte_bpe.read_ranks(RANKS), random.Random(15)
+    words = [prose(draw, 1).encode() for _ in range(300)] + ["é你好".encode(), b"x" * 200, b"a", "\u3000".encode(), "b\u00a0c".encode()]
+    fast, plain, small = (lm_score.Subwords(names) for _ in range(3))
+    plain.core, small.limit = None, 20
+    want = [np.array(byte_bpe.merge(b" " + w, names), "<u4").tobytes() for w in words]
+    for cache in (fast, plain, small):
+        assert cache.ids_of(words) == want and cache.ids_of(words[::-1]) == want[::-1] and len(cache) <= 400
+
+
 def test_attention_gradient():
     draw = np.random.default_rng(0)
     p = {k: x.astype(np.float64) for k, x in attention.new_parameters().items()}
