@@ -277,6 +277,13 @@ def unigram_segment(spark, sf_dir):
     return unigram.Unigram(vocab_size=500, em_steps=2).train(items, "item_id").tokenize(items, "item_id")
 
 
+@query()
+def unigram_segment_documents(spark, sf_dir):
+    """Every line of every document in the pieces that the benchmark taught."""
+    model = unigram.Unigram(vocab_size=500, em_steps=2).train(table(spark, sf_dir, "benchmark"), "item_id")
+    return model.tokenize(table(spark, sf_dir, "documents"))
+
+
 # -- token streams ---------------------------------------------------------------------------------
 CHARS = "stream AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY item_id, place) - 1) AS pos, id FROM (SELECT item_id, generate_subscripts(string_split(text, ''), 1) AS place, ascii(unnest(string_split(text, ''))) AS id FROM benchmark))"
 
