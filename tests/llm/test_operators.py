@@ -427,10 +427,33 @@ def test_subwords_with_and_without_the_library():
     names, draw = byte_bpe.read_ranks(RANKS), random.Random(15)
     words = [prose(draw, 1).encode() for _ in range(300)] + ["é你好".encode(), b"x" * 200, b"a", "\u3000".encode(), "b\u00a0c".encode()]
     fast, plain, small = (lm_score.Subwords(names) for _ in range(3))
-    plain.core, small.limit = None, 20
+    plain.merged, small.limit = lambda piece: byte_bpe.merge(piece, names), 20
     want = [np.array(byte_bpe.merge(b" " + w, names), "<u4").tobytes() for w in words]
     for cache in (fast, plain, small):
-        assert cache.ids_of(words) == want and cache.ids_of(words[::-1]) == want[::-1] and len(cache) <= 400
+        assert [cache[w] for w in words] == want and [cache[w] for w in words] == want and len(cache) <= 400
+
+
+def test_drawn_rows_are_those_that_are_scored():
+    draw = np.random.default_rng(6)
+    ids, first = draw.integers(0, 90, 100), np.array([0, 7, 7, 60, 100])
+    vocabulary, trainer = learned(ids, 90, 0)
+    grid, opens, place = attention.rows_of(ids, first, vocabulary)
+    slots = np.full(grid.size, -1)
+    slots[place] = vocabulary.slots[ids]
+    whole = {}
+    for k, row in enumerate(grid):
+        before = [] if opens[k] else grid[k - 1].tolist()
+        whole[tuple(before), tuple(slots.reshape(grid.shape)[k])] = row.tolist()
+    base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // attention.STEP))])
+    met = set()
+    for _ in range(20):
+        for inputs, known, target, counted in zip(*trainer.draw_rows(ids, first, base)):
+            assert known[attention.STEP :].all() and known[: attention.STEP].all() == known[0]
+            key = tuple(inputs[: attention.STEP][known[: attention.STEP]]), tuple(np.where(counted, target, -1))
+            size = int(counted.sum())
+            assert whole[key][:size] == inputs[attention.STEP :][:size].tolist()
+            met.add(key)
+    assert met == set(whole)
 
 
 def test_attention_gradient():
