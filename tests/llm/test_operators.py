@@ -433,6 +433,15 @@ def test_subwords_with_and_without_the_library():
         assert [cache[w] for w in words] == want and [cache[w] for w in words] == want and len(cache) <= 400
 
 
+def test_counts_by_key():
+    draw = np.random.default_rng(7)
+    keys = np.unique(np.concatenate([draw.integers(0, 1 << 63, 3000).astype(np.uint64) * 2, np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(3, dtype=np.uint64)]))
+    keys, counts = draw.permutation(keys), draw.integers(1, 1 << 40, len(keys))
+    known, some = dict(zip(keys.tolist(), counts.tolist())), np.concatenate([keys, keys + np.uint64(1), keys[:0]])
+    assert lm_score.Counts(keys, counts)(some).tolist() == [known.get(k, 0) for k in some.tolist()]
+    assert lm_score.Counts(keys[:0], counts[:0])(some).sum() == 0 and len(lm_score.Counts(keys, counts)(keys[:0])) == 0
+
+
 def test_drawn_rows_are_those_that_are_scored():
     draw = np.random.default_rng(6)
     ids, first = draw.integers(0, 90, 100), np.array([0, 7, 7, 60, 100])
