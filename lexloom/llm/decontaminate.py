@@ -20,6 +20,7 @@ from lexloom.llm.bytesets import LOWER, Prefix, blocks, expand, flat, words
 from lexloom.llm.rows import without_marks
 from lexloom.llm.staging import stage
 from lexloom.llm.sums import sorted_sum, total_blocks
+from lexloom.llm.threads import one_thread
 
 #: Words of a passage of the SVD, its rank and spare columns, and the seed of its random start.
 PASSAGE, RANK, SPARE, SEED = 32, 64, 8, 7
@@ -156,6 +157,7 @@ def latent_words(rows: DataFrame, n_words: int, spark) -> tuple[np.ndarray, np.n
     held = spark.sparkContext.broadcast((basis * idf[:, None]).astype(np.float32))
 
     def gram(batches):  # (A basis)'(A basis)
+        one_thread()
         total = np.zeros((wide, wide))
         for batch in batches:
             for _, _, y in project(batch, held.value):
@@ -307,6 +309,7 @@ def _round(docs: DataFrame, ids: list, texts: list[str], key: str, text: str) ->
     judge = spark.sparkContext.broadcast((items, *latent_words(rows, len(items.vocabulary), spark)))
 
     def run(batches):
+        one_thread()
         known = Judge(*judge.value)
         for batch in batches:
             names, best = [[] for _ in range(len(batch))], [0.0] * len(batch)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.bytesets import LOWER, Prefix, blocks, flat, words
 from lexloom.llm.sums import sorted_sum, total_blocks
+from lexloom.llm.threads import one_thread
 
 #: Hashed words, then 256 last bytes, then the two marks.
 WORDS = 1 << 15
@@ -169,6 +170,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     voters = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label))
 
     def run(batches):
+        one_thread()
         for batch in batches:
             data, offsets = flat(batch.column(1))
             out = [voters.value.scores(*term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in blocks(offsets)]

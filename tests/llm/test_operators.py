@@ -433,6 +433,24 @@ def test_subwords_with_and_without_the_library():
         assert [cache[w] for w in words] == want and [cache[w] for w in words] == want and len(cache) <= 400
 
 
+def test_workers_use_one_blas_thread(spark):
+    def run(batches):
+        import time
+
+        from lexloom.llm.threads import one_thread
+
+        told = one_thread()
+        for batch in batches:
+            x = np.random.default_rng(0).standard_normal((1500, 1500))
+            wall, cpu = time.perf_counter(), time.process_time()
+            x @ x
+            busy = (time.process_time() - cpu) / (time.perf_counter() - wall)
+            yield pa.RecordBatch.from_arrays([pa.array([told]), pa.array([busy])], ["told", "busy"])
+
+    found = spark.range(1, numPartitions=1).mapInArrow(run, "told boolean, busy double").first()
+    assert not found.told or found.busy < 1.3
+
+
 def test_counts_by_key():
     draw = np.random.default_rng(7)
     keys = np.unique(np.concatenate([draw.integers(0, 1 << 63, 3000).astype(np.uint64) * 2, np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(3, dtype=np.uint64)]))
