@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,24 @@ def given(x: Column, make) -> Column:
     return F.get(F.transform(F.array(x), make), F.lit(0))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` times 10**digits, half away from zero, divided again, as in DuckDB and C: zero keeps its sign.
+
+    Spark's own ``round`` goes by the shortest decimal of a number and has no negative zero.
+    """
+    unit = float(10**digits)
+
+    def scaled(x):
+        def near(y):
+            down = F.floor(y).cast("double")
+            whole = F.when(y < float(1 << 52), down + F.when(y - down >= 0.5, 1.0).otherwise(0.0)).otherwise(y)
+            return F.when(y == float("inf"), x).otherwise(F.signum(x) * (whole / unit))
+
+        return given(F.abs(x * unit), near)
+
+    return given(x, scaled)
+
+
 def linear(x: Column, weights: Column, bias: Column | None = None) -> Column:
     """x W' + b; weights: an array of rows."""
     out = given(x, lambda v: F.transform(weights, lambda row: dot(v, row)))
@@ -158,6 +177,7 @@ def clip_scale(norm: Column, limit: float) -> Column:
 
 def adamw(p: Column, g: Column, m: Column, v: Column, step: int, rate: float = 3e-4, decay: float = 0.1, betas=(0.9, 0.95), eps: float = 1e-8) -> Column:
     """struct(p, m, v) after one decoupled update."""
-    m1, v1 = m * betas[0] + g * (1 - betas[0]), v * betas[1] + g * g * (1 - betas[1])
-    move = (m1 / (1 - betas[0] ** step)) / (F.sqrt(v1 / (1 - betas[1] ** step)) + eps)
-    return F.struct((p * (1 - rate * decay) - move * rate).alias("p"), m1.alias("m"), v1.alias("v"))
+    rest = lambda b, n: float(1 - Decimal(str(b)) ** n)  # noqa: E731  1 - 0.9 is not 0.1 in floats
+    m1, v1 = m * betas[0] + rest(betas[0], 1) * g, v * betas[1] + rest(betas[1], 1) * g * g
+    move = rate * (m1 / rest(betas[0], step)) / (F.sqrt(v1 / rest(betas[1], step)) + eps)
+    return F.struct((p * (1 - rate * decay) - move).alias("p"), m1.alias("m"), v1.alias("v"))

@@ -1,6 +1,7 @@
 """Golden vectors and edge cases of the tokenizers, data set and tensor operators."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -138,3 +139,34 @@ def test_query_matches_sql(spark, name):
     rows = lambda found: sorted(repr(tuple(r)) for r in found)
     theirs = db.sql(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert rows([tuple(r) for r in ours.select(columns).collect()]) == rows(theirs)
+
+
+def rows_as_sql(spark, tmp_path, name, vectors):
+    """(our rows, those of the query's SQL) over embeddings made of ``vectors``, as texts, which tell the signs of zeros apart."""
+    table = spark.createDataFrame([(i, v, i % 7) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    ours = catalog.queries()[name](spark, str(tmp_path))
+    theirs = db.sql(f"SELECT {', '.join(ours.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    return sorted(repr(tuple(r)) for r in ours.collect()), sorted(map(repr, theirs))
+
+
+def test_rounding_is_that_of_sql(spark):
+    draw = np.random.default_rng(2)
+    values = [0.0, -0.0, 1.005, -1.005, 2.5e-5, 0.49999999999999994e-5, -4e-6, 1e300, -1e305, 1.5e308, float("inf"), float("-inf"), float("nan"), 0.285, 1.0e15 + 0.5, *(draw.integers(-10**8, 10**8, 2000) / 1e6 + 0.0), *draw.normal(0, 1e-5, 500)]
+    db = duckdb.connect()
+    for digits in (1, 4, 5, 6):
+        ours = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(tensor.rounded(F.col("v"), digits).alias("v")).collect()
+        theirs = db.execute(f"SELECT round(v, {digits}) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [[float(v) for v in values]]).fetchall()
+        assert [repr(r.v) for r in ours] == [repr(r[0]) for r in theirs]
+
+
+def near_zero(count, scale):
+    """Vectors whose results round to zero from either side."""
+    return [[float(x) for x in row] for row in np.random.default_rng(3).normal(0, scale, (count, 64)).astype(np.float32)]
+
+
+def test_adamw_keeps_the_sign_of_zero(spark, tmp_path):
+    ours, theirs = rows_as_sql(spark, tmp_path, "adamw_step", near_zero(40, 3e-4))
+    assert ours == theirs and "-0.0" in "".join(ours)
