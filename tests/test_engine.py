@@ -170,3 +170,8 @@ def near_zero(count, scale):
 def test_adamw_keeps_the_sign_of_zero(spark, tmp_path):
     ours, theirs = rows_as_sql(spark, tmp_path, "adamw_step", near_zero(40, 3e-4))
     assert ours == theirs and "-0.0" in "".join(ours)
+
+
+def test_grad_clip_keeps_the_sign_of_zero(spark, tmp_path):
+    ours, theirs = rows_as_sql(spark, tmp_path, "grad_clip", [[1.5, *v[1:]] for v in near_zero(20, 1e-5)])
+    assert ours == theirs and "-0.0" in "".join(ours)
