@@ -175,3 +175,18 @@ def test_adamw_keeps_the_sign_of_zero(spark, tmp_path):
 def test_grad_clip_keeps_the_sign_of_zero(spark, tmp_path):
     ours, theirs = rows_as_sql(spark, tmp_path, "grad_clip", [[1.5, *v[1:]] for v in near_zero(20, 1e-5)])
     assert ours == theirs and "-0.0" in "".join(ours)
+
+
+@pytest.mark.parametrize("name", ["layer_norm", "linear_proj", "positional_add", "embedding_lookup"])
+def test_tensor_queries_keep_the_sign_of_zero(spark, tmp_path, name):
+    vectors = near_zero(64, 3e-6)
+    if name == "layer_norm":  # a zero among large numbers of either sign
+        vectors = [[1e-6, -1e-6, *(5.0 * (-1) ** i for i in range(62))] for _ in vectors]
+    if name == "embedding_lookup":
+        spark.createDataFrame([(0, "a bb ccc")], "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+        ours = catalog.queries()[name]
+        spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+        assert all("-0.0" in repr(r.y) for r in ours(spark, str(tmp_path)).collect())
+        return
+    ours, theirs = rows_as_sql(spark, tmp_path, name, vectors)
+    assert ours == theirs and "-0.0" in "".join(ours)
