@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom import catalog
 from lexloom.functions import textops as T
-from lexloom.operators import bpe, dataset, tensor, unigram, vocab_store
+from lexloom.operators import bpe, dataset, pieces, tensor, unigram, vocab_store
 from lexloom.sources import corpus
 
 ENGLISH = " ".join(["low"] * 5 + ["lower"] * 2 + ["newest"] * 6 + ["widest"] * 3)
@@ -190,3 +190,24 @@ def test_tensor_queries_keep_the_sign_of_zero(spark, tmp_path, name):
         return
     ours, theirs = rows_as_sql(spark, tmp_path, name, vectors)
     assert ours == theirs and "-0.0" in "".join(ours)
+
+
+@pytest.mark.parametrize("mode,alphabet", [("word", "ab"), ("word", "abcdé你"), ("byte", "abé")])
+def test_training_from_pieces_of_words(spark, monkeypatch, mode, alphabet):
+    draw = np.random.default_rng(len(alphabet))
+    words = ["".join(draw.choice(list(alphabet), draw.integers(1, 9))) for _ in range(150)]
+    table = docs(spark, *(" ".join(words[i] for i in (draw.zipf(1.3, 80) - 1) % 150) for _ in range(12)))
+    whole = bpe.Bpe(mode, num_merges=40).train(table)
+    monkeypatch.setattr(bpe.Bpe, "_learn_there", None)  # not even once an aggregation a round
+    monkeypatch.setattr(bpe.Bpe, "_learn_here", None)  # nor all words on the driver
+    sizes, symbols = [], pieces.symbols
+    monkeypatch.setattr(pieces, "symbols", lambda *given: sizes.append(symbols(*given)) or sizes[-1])
+    parts = bpe.Bpe(mode, num_merges=40, local_words=30).train(table)
+    assert (parts.merges, parts.freqs) == (whole.merges, whole.freqs) and len(whole.merges) > 10
+    assert all(len(s.tokens) <= 30 * bpe.SYMBOLS for s in sizes)
+    assert {tuple(r) for r in parts.vocabulary().collect()} == {tuple(r) for r in whole.vocabulary().collect()}
+
+
+def test_ends_of_one_spelling():
+    ends = pieces.Ends(["a", "b", "c", "bc", "abc"])
+    assert [ends(*p) for p in [("a", "b"), ("ab", "c"), ("b", "c"), ("c", "a"), ("ca", "b")]] == [False, True, True, False, False]
