@@ -17,8 +17,8 @@ STEP, WIDTH, INPUTS = 16, 16, 1023
 #: Outputs: classes, and the tokens in each that have an output of their own.
 CLASSES, MEMBERS = 64, 32
 OWN = CLASSES * MEMBERS
-#: Rows of an update, step size.
-ROWS, RATE = 64, 0.01
+#: Rows of an update, on large and on small corpora; step size.
+MOST_ROWS, ROWS, RATE = 512, 64, 0.01
 BAN = np.float32(-1e9)
 #: keys minus query: distances 0..STEP*2-1; a query at place q of its row sees keys 0..STEP+q.
 DISTANCE = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None, :]
@@ -136,17 +136,21 @@ def loss_and_gradient(p: dict, inputs: np.ndarray, known: np.ndarray, target: np
     d_hidden = d_class @ p["logit"].T
     own = np.flatnonzero(counted & (slot < OWN))
     own = own[np.argsort(kind[own], kind="stable")]
-    kind, place, line = kind[own], slot[own] % MEMBERS, line[: len(own)]
-    maps = p["member"][kind]
-    d_member = softmax((state[own, None] @ maps)[:, 0] + p["inside"][before[own], kind])
+    kind, place, line, mine = kind[own], slot[own] % MEMBERS, line[: len(own)], state[own]
+    edge = np.searchsorted(kind, np.arange(CLASSES + 1))
+    runs = [(k, slice(edge[k], edge[k + 1])) for k in np.flatnonzero(np.diff(edge)).tolist()]
+    d_member = p["inside"][before[own], kind]
+    for k, some in runs:
+        d_member[some] += mine[some] @ p["member"][k]
+    d_member = softmax(d_member)
     loss = (loss - np.log(d_member[line, place] + 1e-30).sum()) / n
     d_member[line, place] -= 1
     d_member /= np.float32(n)
-    g["member"] = np.zeros_like(p["member"])
-    if len(own):
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(kind) != 0]))
-        g["member"][kind[heads]] = np.add.reduceat(state[own, :, None] * d_member[:, None], heads, axis=0)
-        d_hidden[own] += (d_member[:, None] @ maps.transpose(0, 2, 1))[:, 0]
+    g["member"], d_own = np.zeros_like(p["member"]), np.empty_like(mine)
+    for k, some in runs:
+        g["member"][k] = mine[some].T @ d_member[some]
+        d_own[some] = d_member[some] @ p["member"][k].T
+    d_hidden[own] += d_own
     d_hidden = d_hidden.reshape(hidden.shape)
     mixed = weights @ value
     g["out"] = flat(mixed).T @ flat(d_hidden)
@@ -162,7 +166,10 @@ def loss_and_gradient(p: dict, inputs: np.ndarray, known: np.ndarray, target: np
     d_embedded = d_key @ p["key"].T + d_value @ p["value"].T
     d_embedded[:, STEP:] += d_hidden + d_query @ p["query"].T
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], inputs, d_embedded)
+    order = np.argsort(inputs, axis=None, kind="stable")
+    some = inputs.ravel()[order]
+    heads = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+    g["embed"][some[heads]] = np.add.reduceat(flat(d_embedded)[order], heads, axis=0)
     return float(loss), g
 
 
@@ -185,17 +192,21 @@ def rows_of(ids: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> tuple
     return grid.reshape(-1, STEP), opens, place
 
 
+def first_rows(first: np.ndarray) -> np.ndarray:
+    """The first row of each text, and the end."""
+    return np.concatenate([[0], np.cumsum(-(-np.diff(first) // STEP))])
+
+
 class Trainer:
-    """Adam steps on rows drawn from the token ids that one task reads."""
+    """Adam steps on all rows of the token ids that one task reads."""
 
     def __init__(self, p: dict, vocabulary: Vocabulary, rate: float = RATE, seed: int = 1):
         self.p, self.vocabulary, self.rate = dict(p), vocabulary, rate
-        self.draw, self.steps, self.losses = np.random.default_rng(seed), 0, []
+        self.draw, self.steps, self.losses, self.read = np.random.default_rng(seed), 0, [], 0  # read: rows of the chunks before, by which learn_all numbers on
         self.first_moment, self.second_moment = ({k: np.zeros_like(p[k]) for k in SHAPES} for _ in range(2))
 
-    def draw_rows(self, ids: np.ndarray, first: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(inputs of the previous and the own row, which of them exist, target slots, which of them exist) of ROWS random rows; base: first row of each text and the end."""
-        row = self.draw.integers(0, base[-1], ROWS)
+    def read_rows(self, ids: np.ndarray, first: np.ndarray, base: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(inputs of the previous and the own row, which of them exist, target slots, which of them exist) of these rows; base: first row of each text and the end."""
         text = np.searchsorted(base, row, "right") - 1
         begin, end = first[text][:, None], first[text + 1][:, None]
         at = begin + ((row - base[text]) * STEP)[:, None] + np.arange(-STEP, STEP)
@@ -205,19 +216,33 @@ class Trainer:
         counted = own < end
         return inputs, np.concatenate([at[:, :STEP] >= begin, np.ones_like(counted)], 1), np.where(counted, self.vocabulary.slots[ids[np.minimum(own, len(ids) - 1)]], 0).astype(np.int64), counted
 
+    def draw_rows(self, ids: np.ndarray, first: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, ...]:
+        """ROWS random rows."""
+        return self.read_rows(ids, first, base, self.draw.integers(0, base[-1], ROWS))
+
     def learn(self, ids: np.ndarray, first: np.ndarray, updates: int) -> None:
-        """``updates`` steps on rows drawn from these texts."""
-        base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // STEP))])
+        """``updates`` steps on rows drawn from these texts; a corpus is learned by ``learn_all``."""
+        base = first_rows(first)
         for _ in range(updates if base[-1] else 0):
-            inputs, known, target, counted = self.draw_rows(ids, first, base)
-            loss, g = loss_and_gradient(self.p, inputs, known, target, counted)
-            self.losses.append(loss)
-            self.steps += 1
-            for k in SHAPES:
-                self.first_moment[k] = 0.9 * self.first_moment[k] + 0.1 * g[k]
-                self.second_moment[k] = 0.99 * self.second_moment[k] + 0.01 * g[k] ** 2
-                move = (self.first_moment[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second_moment[k] / (1 - 0.99**self.steps)) + 1e-8)
-                self.p[k] = (self.p[k] - self.rate * move).astype(np.float32)
+            self.step(*self.draw_rows(ids, first, base))
+
+    def learn_all(self, ids: np.ndarray, first: np.ndarray, rows: int = ROWS, part: int = 0, parts: int = 1) -> None:
+        """Steps of ``rows`` rows over each row of these texts whose number is ``part`` modulo ``parts``, once, in random order."""
+        base = first_rows(first)
+        order = self.draw.permutation(np.arange((part - self.read) % parts, base[-1], parts))
+        for a in range(0, len(order), rows):
+            self.step(*self.read_rows(ids, first, base, order[a : a + rows]))
+        self.read += int(base[-1])
+
+    def step(self, inputs: np.ndarray, known: np.ndarray, target: np.ndarray, counted: np.ndarray) -> None:
+        loss, g = loss_and_gradient(self.p, inputs, known, target, counted)
+        self.losses.append(loss)
+        self.steps += 1
+        for k in SHAPES:
+            self.first_moment[k] = 0.9 * self.first_moment[k] + 0.1 * g[k]
+            self.second_moment[k] = 0.99 * self.second_moment[k] + 0.01 * g[k] ** 2
+            move = (self.first_moment[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second_moment[k] / (1 - 0.99**self.steps)) + 1e-8)
+            self.p[k] = (self.p[k] - self.rate * move).astype(np.float32)
 
 
 class Scorer:

@@ -1,9 +1,9 @@
 """Language-model scores of documents: a counted word model, and causal self-attention on subwords.
 
 Both models learn from all training texts. Words, subwords and pairs of subwords are counted on
-the executors. The attention model is trained in rounds: in each, every partition makes updates in
-proportion to the ids it holds, from the same parameters, and the partitions' results are
-averaged by their numbers of ids, so the updates grow with the corpus. Each chunk of documents gets
+the executors. The attention model is trained in rounds: in each, every partition learns from
+another share of its rows of ids, all of them in the end, from the same parameters, and the
+partitions' results are averaged by their numbers of ids. Each chunk of documents gets
 back the counts of its own words; no dictionary of the corpus is broadcast. Texts are cut into
 subwords once and never shuffled; all else reads the ids, whose spelling tells words apart.
 
@@ -37,8 +37,8 @@ from lexloom.llm.windows import blob_rows, joined, split_by
 
 #: Bytes of text in a chunk: neighbouring documents that are read, asked for and scored together.
 CHUNK = 6 << 20
-#: Rounds of training; in each a partition makes one update for so many ids, or for so few that all make LEAST_UPDATES.
-ROUNDS, IDS_PER_UPDATE, LEAST_UPDATES = 4, 1 << 17, 200
+#: Rounds of training, and updates of all partitions in a round at least. Together the rounds learn from every row once, on small corpora oftener.
+ROUNDS, LEAST_UPDATES = 4, 200
 #: Ids that are worked on at once, so that they stay in the cache.
 RUN = 1 << 17
 #: Share of the attention model in a token's probability; the counted word model has the rest.
@@ -203,7 +203,9 @@ def train(texts: DataFrame, ranks: dict[bytes, int], wide: str) -> tuple[tuple,
     p = attention.new_parameters(pair)
     if not counts.any():
         return (vocabulary, p), 0, 0
-    fixed, each = spark.sparkContext.broadcast(pair), max(1, min(IDS_PER_UPDATE, int(counts.sum()) // LEAST_UPDATES))
+    fixed, total, least = spark.sparkContext.broadcast(pair), int(counts.sum()), LEAST_UPDATES * attention.ROWS * attention.STEP
+    parts, times = min(ROUNDS, max(1, total // least)), max(1, -(-least // total))
+    rows = min(attention.MOST_ROWS, max(attention.ROWS, total // (attention.STEP * ROUNDS * LEAST_UPDATES)))
     vector = attention.packed(p)
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(vector)
@@ -211,13 +213,15 @@ def train(texts: DataFrame, ranks: dict[bytes, int], wide: str) -> tuple[tuple,
         def learn(batches):
             forget_words()
             one_thread()
-            trainer, n = None, 0
+            trainer, n, read = None, 0, 0
             for ids, first in chunks.learned(batches):
                 if trainer is None:
                     rate = attention.RATE * (1 - k / ROUNDS)  # noqa: B023
                     trainer = attention.Trainer(attention.unpacked(now.value, fixed.value), given.value, rate, seed=k)  # noqa: B023
-                trainer.learn(ids, first, max(0 if n else 1, (n + len(ids)) // each - n // each))
-                n += len(ids)
+                for _ in range(times):
+                    trainer.read = read
+                    trainer.learn_all(ids, first, rows, k % parts, parts)  # noqa: B023
+                read, n = trainer.read, n + len(ids)
             return np.append(attention.packed(trainer.p), 1.0)[:, None] * n if trainer else np.zeros((len(vector) + 1, 1))  # noqa: B023
 
         summed_ = total_blocks(texts, learn, len(vector) + 1, 1)[:, 0]

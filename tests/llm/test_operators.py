@@ -728,3 +728,16 @@ def test_pipeline(spark):
         want[r[0]] = (len(ids), brute.sha(np.array(ids, "<u4").tobytes()), brute.sha((r[at["text"]] or "").encode()))
     found = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert found == want and 50 < len(found) < len(rows)
+
+
+def test_attention_learns_from_every_row():
+    vocabulary = attention.Vocabulary(np.ones(50))
+    draw, seen = np.random.default_rng(5), []
+    chunks = [(draw.integers(0, 50, 700), np.array([0, 0, 33, 300, 700])), (draw.integers(0, 50, 90), np.array([0, 17, 90]))]
+    for part in range(4):
+        trainer = attention.Trainer(attention.new_parameters(), vocabulary)
+        trainer.step = lambda inputs, known, target, counted: seen.append((counted.sum(), len(counted)))
+        for ids, first in chunks:
+            trainer.learn_all(ids, first, 8, part, 4)
+        assert trainer.read == sum(int((-(-np.diff(first) // attention.STEP)).sum()) for _, first in chunks)
+    assert sum(n for n, _ in seen) == 790 and max(rows for _, rows in seen) == 8
