@@ -26,6 +26,8 @@ from lexloom.llm.threads import one_thread
 PASSAGE, RANK, SPARE, SEED = 32, 64, 8, 7
 #: Leading components that are left out: they carry what all texts of a language share.
 LEADING = 24
+#: Least eigenvalue of a component, as a share of the largest one.
+REAL = 1e-10
 #: Words of a step; windows are 2, 3 or 4 steps, begin at every step, and meet the items of at most 24, 40 or more words.
 STEP, SPANS, LENGTHS = 16, (2, 3, 4), (24, 40)
 #: Items of more than LONG words are searched in pieces of PIECE words, HOP apart; ones of less than SHORT words by rare words.
@@ -166,7 +168,8 @@ def latent_words(rows: DataFrame, n_words: int, spark) -> tuple[np.ndarray, np.n
 
     values, turn = np.linalg.eigh(total_blocks(ids, gram, wide, wide))
     order = np.argsort(-values)
-    kept = order[LEADING:RANK] if n_words > 4 * RANK else order[:RANK]  # a small benchmark has no such components
+    order = order[values[order] > REAL * values.max(initial=0)]  # a corpus of few passages has few components; beyond is rounding noise
+    kept = order[LEADING:RANK] if n_words > 4 * RANK and len(order) >= RANK else order[:RANK]  # a small benchmark or corpus has no such components
     return ((basis @ turn[:, kept]) * idf[:, None]).astype(np.float32), idf.astype(np.float32)
 
 

@@ -378,6 +378,20 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.contamination(empty, benchmark).count() == 0
 
 
+def test_decontamination_of_few_passages(spark):
+    """A corpus with fewer passages than the SVD has components gives the same items however it is dealt."""
+    draw = random.Random(4)
+    items = [(i, prose(draw, draw.randint(18, 50))) for i in range(30)]
+    altered = items[1][1].split()
+    altered[3] = "other"
+    texts = [(0, prose(draw, 200) + " " + items[0][1] + "\n" + prose(draw, 90)), (1, prose(draw, 40) + " " + " ".join(altered)), (2, prose(draw, 300)), (3, items[2][1])]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    for parts in (1, 2, 3, 5):
+        table = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(parts)
+        assert {r.doc_id: r["items"] for r in decontaminate.contamination(table, benchmark).collect()} == {0: [0], 1: [1], 2: [], 3: [2]}, parts
+    assert decontaminate.contamination(spark.createDataFrame(texts[2:3], "doc_id bigint, text string"), benchmark).count() == 1
+
+
 def test_decontamination_by_items_of_any_length(spark):
     draw = random.Random(8)
     words = [prose(draw, 1) + str(i) for i in range(400)]  # few words, so that all of a text's are in the benchmark
