@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom import catalog
 from lexloom.functions import textops as T
-from lexloom.operators import bpe, dataset, gpt, pretrained, tokenizer, unigram, vocab_store
+from lexloom.operators import bpe, dataset, gpt, merge_loop, pretrained, tokenizer, unigram, vocab_store
 from lexloom.plans import cut
 from lexloom.streaming import encode as streams
 
@@ -256,3 +256,29 @@ def test_first_places_of_any_key(spark):
     assert pairs == {("x", T.EOW): (4, -3, 0, 0), ("y", T.EOW): (2, -(1 << 63), 1, 0), ("z", T.EOW): (1, -(1 << 63), 0, 0), ("q", T.EOW): (1, 7, 1, 0), ("p", T.EOW): (1, 7, 0, 0)}
     named = bpe.word_counts(spark.createDataFrame([("b", "x"), ("a", "y x")], "doc_id string, text string"))
     assert {r.word: (r.cnt, r.doc, r.pos) for r in named.collect()} == {"x": (2, "a", 1), "y": (1, "a", 0)}
+
+
+@pytest.mark.parametrize("mode", ["word", "byte"])
+def test_few_rounds_are_replaced_as_many_are_applied(mode, monkeypatch):
+    """Words come apart alike by literal replacement and round by round, whatever marks and end-of-words they hold."""
+    draw = random.Random(3)
+    words = ["".join(draw.choice("aab\x01\x02\x03<|w>é") for _ in range(draw.randint(1, 9))) for _ in range(3000)] + ["<|w|>", "a\x03\x02b", "aaaa"]
+    rounds = [p for p, _ in merge_loop.learn([(merge_loop.symbols_of(w, mode), 1) for w in words[::2]], 40, 2)] + ([("a\x03\x02a", "b"), ("a", "b")] if mode == "word" else [])
+    few = merge_loop.segmenter(rounds, mode)
+    monkeypatch.setattr(merge_loop, "FEW_ROUNDS", 0)
+    many = merge_loop.segmenter(rounds, mode)
+    assert [few(w) for w in words] == [many(w) for w in words]
+
+
+def test_every_cjk_character_stands_alone(spark):
+    """The class that is asked first leaves out no character of the four scripts."""
+    rows = spark.range(0x110000 // 256).select(F.expr("concat_ws('', transform(filter(sequence(id * 256, id * 256 + 255), i -> i < 55296 or i > 57343), i -> decode(unhex(lpad(hex(i), 8, '0')), 'UTF-32')))").alias("t"))
+    plain = F.regexp_replace("t", f"([{T.CJK}])", " $1 ")
+    assert rows.where(T.isolate_cjk(F.col("t")) != plain).count() == 0 and rows.where(plain != F.col("t")).count() > 100
+
+
+def test_encode_cuts_each_text_once(spark):
+    """No text is cut into words below the exchange that deals it over the cores, nor by Spark at all."""
+    model = bpe.Bpe(num_merges=3).train(docs(spark, MARKED))
+    plan = model.encode(docs(spark, MARKED).repartition(2), model.vocabulary())._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
