@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lexloom.llm.sums import sorted_sum
+
 #: Tokens of a row, width, tokens with an embedding of their own.
 STEP, WIDTH, INPUTS = 16, 16, 1023
 #: Outputs: classes, and the tokens in each that have an output of their own.
@@ -20,6 +22,8 @@ OWN = CLASSES * MEMBERS
 #: Rows of an update, on large and on small corpora; step size.
 MOST_ROWS, ROWS, RATE = 512, 64, 0.01
 BAN = np.float32(-1e9)
+#: Rows that are learned from at once, so that what they need stays in the cache.
+BLOCK = 64
 #: keys minus query: distances 0..STEP*2-1; a query at place q of its row sees keys 0..STEP+q.
 DISTANCE = np.arange(STEP)[:, None] + STEP - np.arange(2 * STEP)[None, :]
 FUTURE = DISTANCE < 0
@@ -106,70 +110,126 @@ def unpacked(vector: np.ndarray, pairs: dict[str, np.ndarray]) -> dict[str, np.n
     return out
 
 
-def attend(p: dict, embedded: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hidden, weights, query, key, value) of rows; embedded: (rows, 2 * STEP, WIDTH), known: which keys exist."""
-    query, key, value = embedded[:, STEP:] @ p["query"], embedded @ p["key"], embedded @ p["value"]
-    scores = query @ key.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + p["near"][np.maximum(DISTANCE, 0)]
-    scores = np.where(FUTURE | ~known[:, None, :], BAN, scores)
-    scores = np.exp(scores - scores.max(-1, keepdims=True))
-    weights = scores / scores.sum(-1, keepdims=True)
-    return embedded[:, STEP:] + weights @ value @ p["out"], weights, query, key, value
-
-
 def softmax(logits: np.ndarray) -> np.ndarray:
     powers = np.exp(logits - logits.max(-1, keepdims=True))
     return powers / powers.sum(-1, keepdims=True)
 
 
+def tables_of(p: dict) -> tuple[np.ndarray, ...]:
+    """(query, key, value, value as the hidden state shows it) of each input; the queries are scaled."""
+    value = p["embed"] @ p["value"]
+    return (p["embed"] @ p["query"]) * np.float32(WIDTH**-0.5), p["embed"] @ p["key"], value, value @ p["out"]
+
+
+def as_pairs(rows: np.ndarray) -> np.ndarray:
+    """(rows - 1, 2 * STEP, WIDTH): each row of STEP places behind the one before it, without a copy."""
+    step = rows.strides[0]
+    return np.lib.stride_tricks.as_strided(rows, (len(rows) // STEP - 1, 2 * STEP, WIDTH), (STEP * step, step, rows.strides[1]), writeable=False)
+
+
+def near_of(p: dict) -> np.ndarray:
+    """What is added to the scores of a row's places (lines) and the places they see (columns)."""
+    return np.where(FUTURE, BAN, p["near"][np.maximum(DISTANCE, 0)]).astype(p["near"].dtype)
+
+
+def powers(logits: np.ndarray, added: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials of the logits and what is added to them, in place, and their sums along the last axis); the largest of what is added to a line is moderate."""
+    large = logits.size and max(logits.max(), -logits.min()) > 60  # they could overflow or vanish
+    logits += added
+    if large:
+        logits -= logits.max(-1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[-1], logits.dtype)
+
+
+def summed_by(index: np.ndarray, arrays: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Rows of each array summed by an index below n. Groups are filled up to pieces of eight rows, which add up in long runs, by a last row of zeros that each array has beyond the index."""
+    index = index.astype(np.int16)
+    order = np.argsort(index, kind="stable")
+    size = np.bincount(index, minlength=n)
+    pieces = -(-size // 8)
+    lead, edge = np.cumsum(pieces) * 8, np.cumsum(size)
+    grid = np.full(int(pieces.sum()) * 8, len(index))
+    grid[np.arange(len(index)) + np.repeat((lead - pieces * 8) - (edge - size), size)] = order
+    of, out = np.repeat(np.arange(n), pieces), []
+    for values in arrays:
+        width = values.shape[1]
+        some = values.take(grid, 0).reshape(-1, 8 * width)
+        for half in (4, 2, 1):
+            some = some[:, : half * width] + some[:, half * width :]
+        out.append(sorted_sum(of, some, n))
+    return out
+
+
 def loss_and_gradient(p: dict, inputs: np.ndarray, known: np.ndarray, target: np.ndarray, counted: np.ndarray) -> tuple[float, dict]:
-    """Mean cross-entropy of the counted target slots, and its gradient by the learned parameters."""
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    embedded = p["embed"][inputs]
-    hidden, weights, query, key, value = attend(p, embedded, known)
-    state, before, slot, counted = flat(hidden), inputs[:, STEP:].ravel(), target.ravel(), counted.ravel()
-    n, line, kind = max(1, counted.sum()), np.arange(len(slot)), class_of(slot)
-    d_class = softmax(state @ p["logit"] + p["pair"][before])
-    loss = -np.log(d_class[line, kind] + 1e-30)[counted].sum()
-    d_class[line, kind] -= 1
-    d_class *= counted[:, None] / np.float32(n)
-    g = {"logit": state.T @ d_class}
-    d_hidden = d_class @ p["logit"].T
+    """Mean cross-entropy of the counted target slots, and its gradient by the learned parameters.
+
+    As there are far fewer inputs than places, queries, keys and values are worked out once an
+    input, and their gradients are summed by input before they go back through the matrices.
+    """
+    query_of, key_of, value_of, shown_of = tables_of(p)
+    before, slot, counted = inputs[:, STEP:].ravel(), target.ravel(), counted.ravel()
+    kind, like, n_inputs = class_of(slot), p["embed"], len(p["embed"])
+    near = near_of(p)
+    state, d_state, d_query = (np.empty((len(before) + 1, WIDTH), like.dtype) for _ in range(3))
+    d_key, d_shown = (np.empty((inputs.size + 1, WIDTH), like.dtype) for _ in range(2))
+    for x in (d_state, d_query, d_key, d_shown):
+        x[-1] = 0  # what groups are filled up with
+    parts = [(slice(a, b), slice(a * STEP, b * STEP), slice(a * 2 * STEP, b * 2 * STEP)) for a in range(0, len(inputs), BLOCK) for b in (min(a + BLOCK, len(inputs)),)]
+    kept, loss, g, one = [], 0.0, {"logit": np.zeros_like(p["logit"])}, np.float32(1 / max(1, counted.sum()))
+    shares, back, line = counted * one, np.ascontiguousarray(p["logit"].T), np.arange(BLOCK * STEP)
+    for rows, some, _ in parts:
+        query = query_of.take(before[some], 0).reshape(-1, STEP, WIDTH)
+        key, shown = key_of.take(inputs[rows], 0), shown_of.take(inputs[rows], 0)
+        scores, bias = query @ key.transpose(0, 2, 1), near
+        if not known[rows].all():
+            bias = np.where(known[rows][:, None, :], near, BAN)
+        weights, sums = powers(scores, bias)
+        weights *= (1 / sums)[..., None]
+        mixed = weights @ shown
+        np.add(like.take(before[some], 0), mixed.reshape(-1, WIDTH), out=state[some])
+        kept.append((query, key, shown, weights, mixed))
+        d_class, sums = powers(state[some] @ p["logit"], p["pair"].take(before[some], 0))
+        here = line[: len(sums)]
+        loss -= np.log(d_class[here, kind[some]] / sums + 1e-30) @ shares[some]
+        d_class *= (shares[some] / sums)[:, None]
+        d_class[here, kind[some]] -= shares[some]
+        g["logit"] += state[some].T @ d_class
+        np.matmul(d_class, back, out=d_state[some])
     own = np.flatnonzero(counted & (slot < OWN))
-    own = own[np.argsort(kind[own], kind="stable")]
-    kind, place, line, mine = kind[own], slot[own] % MEMBERS, line[: len(own)], state[own]
+    own = own[np.argsort(kind[own].astype(np.int16), kind="stable")]
+    kind, place, line, mine = kind[own], slot[own] % MEMBERS, np.arange(len(own)), state.take(own, 0)
     edge = np.searchsorted(kind, np.arange(CLASSES + 1))
     runs = [(k, slice(edge[k], edge[k + 1])) for k in np.flatnonzero(np.diff(edge)).tolist()]
-    d_member = p["inside"][before[own], kind]
+    d_member = np.empty((len(own), MEMBERS), like.dtype)
     for k, some in runs:
-        d_member[some] += mine[some] @ p["member"][k]
-    d_member = softmax(d_member)
-    loss = (loss - np.log(d_member[line, place] + 1e-30).sum()) / n
-    d_member[line, place] -= 1
-    d_member /= np.float32(n)
+        np.matmul(mine[some], p["member"][k], out=d_member[some])
+    d_member, sums = powers(d_member, p["inside"].reshape(-1, MEMBERS).take(before[own] * CLASSES + kind, 0))
+    loss -= np.log(d_member[line, place] / sums + 1e-30).sum() * one
+    d_member *= (one / sums)[:, None]
+    d_member[line, place] -= one
     g["member"], d_own = np.zeros_like(p["member"]), np.empty_like(mine)
     for k, some in runs:
-        g["member"][k] = mine[some].T @ d_member[some]
-        d_own[some] = d_member[some] @ p["member"][k].T
-    d_hidden[own] += d_own
-    d_hidden = d_hidden.reshape(hidden.shape)
-    mixed = weights @ value
-    g["out"] = flat(mixed).T @ flat(d_hidden)
-    d_mixed = d_hidden @ p["out"].T
-    d_value = weights.transpose(0, 2, 1) @ d_mixed
-    d_weights = d_mixed @ value.transpose(0, 2, 1)
-    d_scores = weights * (d_weights - (d_weights * weights).sum(-1, keepdims=True))
-    g["near"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), np.where(FUTURE, 0, d_scores.sum(0)).ravel(), 2 * STEP).astype(np.float32)
-    scale = np.float32(WIDTH**-0.5)
-    d_query, d_key = d_scores @ key * scale, d_scores.transpose(0, 2, 1) @ query * scale
-    g["query"] = flat(embedded[:, STEP:]).T @ flat(d_query)
-    g["key"], g["value"] = flat(embedded).T @ flat(d_key), flat(embedded).T @ flat(d_value)
-    d_embedded = d_key @ p["key"].T + d_value @ p["value"].T
-    d_embedded[:, STEP:] += d_hidden + d_query @ p["query"].T
-    g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(inputs, axis=None, kind="stable")
-    some = inputs.ravel()[order]
-    heads = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-    g["embed"][some[heads]] = np.add.reduceat(flat(d_embedded)[order], heads, axis=0)
+        np.matmul(mine[some].T, d_member[some], out=g["member"][k])
+        np.matmul(d_member[some], p["member"][k].T, out=d_own[some])
+    d_state[own] += d_own
+    d_near = np.zeros(STEP * 2 * STEP, like.dtype)
+    for (_, some, keys), (query, key, shown, weights, mixed) in zip(parts, kept):
+        d_mixed = d_state[some].reshape(mixed.shape)
+        d_scores = d_mixed @ shown.transpose(0, 2, 1)
+        d_scores -= np.einsum("rsw,rsw->rs", d_mixed, mixed)[..., None]
+        d_scores *= weights
+        d_near += np.ones(len(mixed), like.dtype) @ d_scores.reshape(len(mixed), -1)
+        np.matmul(d_scores, key, out=d_query[some].reshape(mixed.shape))
+        np.matmul(d_scores.transpose(0, 2, 1), query, out=d_key[keys].reshape(key.shape))
+        np.matmul(weights.transpose(0, 2, 1), d_mixed, out=d_shown[keys].reshape(key.shape))
+    g["near"] = np.bincount(np.maximum(DISTANCE, 0).ravel(), np.where(FUTURE.ravel(), 0, d_near), 2 * STEP).astype(np.float32)
+    d_key, d_shown = summed_by(inputs.ravel(), [d_key, d_shown], n_inputs)
+    g["embed"], d_query = summed_by(before, [d_state, d_query], n_inputs)
+    g["out"] = value_of.T @ d_shown
+    for k, d in (("query", d_query * np.float32(WIDTH**-0.5)), ("key", d_key), ("value", d_shown @ p["out"].T)):
+        g[k] = like.T @ d
+        g["embed"] += d @ p[k].T
     return float(loss), g
 
 
@@ -239,10 +299,16 @@ class Trainer:
         self.losses.append(loss)
         self.steps += 1
         for k in SHAPES:
-            self.first_moment[k] = 0.9 * self.first_moment[k] + 0.1 * g[k]
-            self.second_moment[k] = 0.99 * self.second_moment[k] + 0.01 * g[k] ** 2
-            move = (self.first_moment[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second_moment[k] / (1 - 0.99**self.steps)) + 1e-8)
-            self.p[k] = (self.p[k] - self.rate * move).astype(np.float32)
+            first, second = self.first_moment[k], self.second_moment[k]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g[k]
+            second *= np.float32(0.99)
+            second += np.float32(0.01) * g[k] ** 2
+            move = np.sqrt(second)
+            move += np.float32(1e-8 * (1 - 0.99**self.steps) ** 0.5)
+            np.divide(first, move, out=move)
+            move *= np.float32(self.rate * (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps))
+            self.p[k] = self.p[k] - move
 
 
 class Scorer:
@@ -253,31 +319,30 @@ class Scorer:
 
     def __init__(self, vocabulary: Vocabulary, p: dict):
         self.vocabulary, self.p = vocabulary, p
-        self.tables = [p["embed"] @ p[k] for k in ("query", "key", "value")]
-        self.tables[0] = (self.tables[0] * np.float32(WIDTH**-0.5)).astype(np.float32)
+        self.query, self.key, _, self.shown = (x.astype(np.float32) for x in tables_of(p))
         norm = lambda x, axis=1: np.linalg.norm(x, axis=axis).max()
-        state = norm(p["embed"]) + norm(self.tables[2] @ p["out"])
-        self.scores_clipped = norm(self.tables[0]) * norm(self.tables[1]) + np.abs(p["near"]).max() > 60  # else no score or logit can overflow
+        state = norm(p["embed"]) + norm(self.shown)
+        self.scores_clipped = norm(self.query) * norm(self.key) + np.abs(p["near"]).max() > 60  # else no score or logit can overflow
         self.logits_clipped = state * max(norm(p["logit"], 0), norm(p["member"])) > 80
-        # a last column of ones sums up the weights
-        self.tables[2] = np.concatenate([self.tables[2], np.ones((len(self.tables[2]), 1), np.float32)], 1)
-        self.near = np.where(FUTURE, BAN, p["near"][np.maximum(DISTANCE, 0)]).astype(np.float32)
+        self.near, self.ones = near_of(p).astype(np.float32), np.ones(max(2 * STEP, MEMBERS), np.float32)
         self.sums = np.stack([np.ones(CLASSES + 2), vocabulary.opening], 1).astype(np.float32)
         self.inside = np.ascontiguousarray(p["inside"].transpose(1, 0, 2))  # a class's part stays in the cache
 
     def states(self, grid: np.ndarray, opens: np.ndarray, a: int, b: int) -> np.ndarray:
         """Hidden states of the places of rows a to b."""
-        part = grid[a:b]
-        before = np.concatenate([grid[a - 1 : a] if a else grid[:1], part[:-1]])
-        keys = np.concatenate([before, part], 1)
-        scores = self.tables[0][part] @ self.tables[1][keys].transpose(0, 2, 1)
+        own = grid[a:b].ravel()
+        both = np.concatenate([grid[a - 1] if a else grid[0], own])
+        key, shown = (as_pairs(table.take(both, 0)) for table in (self.key, self.shown))
+        scores = self.query.take(own, 0).reshape(-1, STEP, WIDTH) @ key.transpose(0, 2, 1)
         scores += self.near
         scores[opens[a:b], :, :STEP] = BAN
         if self.scores_clipped:
             np.minimum(scores, 60, out=scores)
         np.exp(scores, out=scores)
-        mixed = (scores @ self.tables[2][keys]).reshape(-1, WIDTH + 1)
-        return self.p["embed"][part.ravel()] + (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ self.p["out"]
+        mixed = (scores @ shown).reshape(-1, WIDTH)
+        mixed /= (scores.reshape(-1, 2 * STEP) @ self.ones[: 2 * STEP])[:, None]
+        mixed += self.p["embed"].take(own, 0)
+        return mixed
 
     def powers(self, logits: np.ndarray) -> np.ndarray:
         if self.logits_clipped:
@@ -292,6 +357,7 @@ class Scorer:
         slots, kinds = np.full(grid.size, OWN, np.int16), np.full(grid.size, CLASSES, np.int16)
         slots[place], kinds[place] = self.vocabulary.slots[ids], self.vocabulary.classes[ids]
         log, opening = np.empty(grid.size, np.float32), np.empty(grid.size, np.float32)
+        grid = grid.astype(np.int64)
         inputs, line = grid.ravel(), np.arange(self.BLOCK * STEP)
         for top in range(0, len(grid), self.BLOCK * self.TIMES):
             end, states = min(len(grid), top + self.BLOCK * self.TIMES), []
@@ -300,7 +366,7 @@ class Scorer:
                 span = slice(a * STEP, b * STEP)
                 states.append(self.states(grid, opens, a, b))
                 logits = states[-1] @ self.p["logit"]
-                logits += self.p["pair"][inputs[span]]
+                logits += self.p["pair"].take(inputs[span], 0)
                 chosen = logits[line[: len(logits)], kinds[span]]
                 sums = np.log(self.powers(logits) @ self.sums + np.float32(1e-30))
                 log[span] = chosen - sums[:, 0]
@@ -311,8 +377,8 @@ class Scorer:
             edge = np.searchsorted(mine[order], np.arange(0, OWN + 1, MEMBERS))
             for k in np.flatnonzero(np.diff(edge)).tolist():
                 some = order[edge[k] : edge[k + 1]]
-                logits = state[some] @ self.p["member"][k]
-                logits += self.inside[k][inputs[base + some]]
+                logits = state.take(some, 0) @ self.p["member"][k]
+                logits += self.inside[k].take(inputs[base + some], 0)
                 chosen = logits[np.arange(len(some)), mine[some] - k * MEMBERS]
-                log[base + some] += chosen - np.log(self.powers(logits).sum(1))
+                log[base + some] += chosen - np.log(self.powers(logits) @ self.ones[:MEMBERS])
         return (log[place] + self.vocabulary.inside[ids]).astype(np.float64), opening[place].astype(np.float64)

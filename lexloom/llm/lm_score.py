@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import attention
-from lexloom.llm.bytesets import LOWER, Prefix, blocks, flat, words
+from lexloom.llm.bytesets import LOWER, Prefix, blocks, expand, flat, mix, words
 from lexloom.llm.byte_bpe import Slices, merge, read_ranks
 from lexloom.llm.staging import parts_for, stage
 from lexloom.llm.sums import total_blocks
@@ -116,13 +116,35 @@ def forget_words() -> None:
     _caches.clear()
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of one word of each kind, kind of each word): words of up to 15 bytes are told apart by all their bytes and their length, a longer one is a kind of its own."""
+    size, padded = ends - starts, np.append(data, np.zeros(15, np.uint8))
+    low, high = np.zeros((2, len(starts)), np.uint64)
+    for k in range(15):
+        part = low if k < 8 else high
+        part |= np.where(size > k, padded[starts + k], 0).astype(np.uint64) << np.uint64(8 * (k % 8))
+    high |= size.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(size > 15)
+    low[long], high[long] = long, 16 << 56
+    order = np.argsort(mix(low + mix(high)))
+    a, b = low[order], high[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])  # two kinds of one hash come apart, in more pieces than need be at worst
+    kinds = np.empty(len(order), np.int64)
+    kinds[order] = np.cumsum(head) - 1
+    return order[head], kinds
+
+
 def token_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, cache: Subwords, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first id of each text and the end): subwords of each text's words, then one end."""
     raw = data.tobytes()
-    words_ = list(map(cache.__getitem__, [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]))
-    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words_), np.int64, len(words_)) // 4)])[first]
-    ids = np.insert(np.frombuffer(b"".join(words_), "<u4"), edge[1:], end_id)
-    return ids, edge + np.arange(len(edge))
+    some, kinds = distinct(data, starts, ends)
+    coded = list(map(cache.__getitem__, [raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())]))
+    size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    lead, sizes = np.cumsum(size) - size, size[kinds]
+    edge = np.concatenate([[0], np.cumsum(sizes)])[first]
+    ids = np.frombuffer(b"".join(coded), "<u4").take(expand(lead[kinds], sizes))
+    return np.insert(ids, edge[1:], end_id), edge + np.arange(len(edge))
 
 
 def lowered(data: np.ndarray, offsets: np.ndarray):

@@ -755,3 +755,74 @@ def test_attention_learns_from_every_row():
             trainer.learn_all(ids, first, 8, part, 4)
         assert trainer.read == sum(int((-(-np.diff(first) // attention.STEP)).sum()) for _, first in chunks)
     assert sum(n for n, _ in seen) == 790 and max(rows for _, rows in seen) == 8
+
+
+def test_subwords_ask_once_for_each_word():
+    """Words are told apart exactly, whatever bytes they hold, and each is looked up once in a block."""
+    names, asked = byte_bpe.read_ranks(RANKS), []
+    cache = lm_score.Subwords(names)
+
+    class Asked(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return cache[word]
+
+    kinds = [b"a", b"a\0", b"\0", b"\0\0", b"a" * 8, b"a" * 15, b"a" * 14 + b"\0", b"a" * 16, b"b" * 90, b"abcdefg\0", b"abcdefgh", b"abcdefgh\0", "你好".encode()]
+    draw = random.Random(16)
+    listed = [[draw.choice(kinds) for _ in range(n)] for n in (40, 0, 1, 300, 0)]
+    texts = [b" ".join(x) for x in listed]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ids, edge = lm_score.token_ids(data, *bytesets.words(data, offsets), Asked(), len(names))
+    want = [[*np.frombuffer(b"".join(cache[w] for w in x), "<u4").tolist(), len(names)] for x in listed]
+    assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == want
+    short = [w for w in asked if len(w) <= 15]
+    assert len(short) == len(set(short)) and set(asked) == {w for x in listed for w in x}
+    none = np.zeros(0, np.int64)
+    assert lm_score.token_ids(data[:0], none, none, np.zeros(3, np.int64), cache, 9)[0].tolist() == [9, 9]
+
+
+def plain_loss(p, inputs, known, target, counted):
+    """Each place's cross-entropy, one by one."""
+    total, step = 0.0, attention.STEP
+    for row in range(len(inputs)):
+        x = p["embed"][inputs[row]]
+        for q in np.flatnonzero(counted[row]):
+            sees = np.flatnonzero(known[row] & ~attention.FUTURE[q])
+            score = (x[sees] @ p["key"]) @ (x[step + q] @ p["query"]) / attention.WIDTH**0.5 + p["near"][attention.DISTANCE[q, sees]]
+            hidden = x[step + q] + attention.softmax(score) @ (x[sees] @ p["value"]) @ p["out"]
+            before, slot = inputs[row, step + q], target[row, q]
+            kind = attention.class_of(slot)
+            total -= np.log(attention.softmax(hidden @ p["logit"] + p["pair"][before])[kind] + 1e-30)
+            if slot < attention.OWN:
+                total -= np.log(attention.softmax(hidden @ p["member"][kind] + p["inside"][before, kind])[slot % attention.MEMBERS] + 1e-30)
+    return total / counted.sum()
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_gradient_of_many_rows(size):
+    """Rows of several blocks, inputs that recur and some that don't; size 5: scores and logits from which the largest has to be subtracted."""
+    draw, n = np.random.default_rng(9), 2 * attention.BLOCK + 3
+    p = {k: x.astype(np.float64) * size for k, x in attention.new_parameters().items()}
+    for name in ("pair", "inside"):
+        p[name] = -np.abs(draw.standard_normal(p[name].shape))
+    p["near"] = draw.standard_normal(2 * attention.STEP)
+    inputs, target = draw.integers(0, 60, (n, 2 * attention.STEP)) ** 2 % 1025, draw.integers(0, attention.OWN + 2, (n, attention.STEP))
+    known, counted = np.ones((n, 2 * attention.STEP), bool), draw.random((n, attention.STEP)) < 0.9
+    known[draw.random(n) < 0.3, : attention.STEP] = False
+    loss, g = attention.loss_and_gradient(p, inputs, known, target, counted)
+    assert loss == pytest.approx(plain_loss(p, inputs, known, target, counted), rel=1e-6)
+    for name in g:
+        way = g[name] / np.linalg.norm(g[name])
+        up, down = (attention.loss_and_gradient(p | {name: p[name] + s * way}, inputs, known, target, counted)[0] for s in (1e-4, -1e-4))
+        assert (up - down) / 2e-4 == pytest.approx(np.linalg.norm(g[name]), rel=0.01 if size == 1 else 0.1), name  # the loss, not its gradient, has a floor under tiny chances
+
+
+def test_sums_by_input():
+    draw = np.random.default_rng(10)
+    for n, most in ((0, 5), (1, 5), (200, 3), (5000, 1025)):
+        index = draw.integers(0, most, n)
+        values = [np.append(draw.standard_normal((n, k)), np.zeros((1, k)), 0) for k in (16, 3)]
+        for x, found in zip(values, attention.summed_by(index, values, most + 2)):
+            want = np.zeros((most + 2, x.shape[1]))
+            np.add.at(want, index, x[:-1])
+            assert np.allclose(found, want)
